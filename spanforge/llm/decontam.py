@@ -53,7 +53,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = seeds.count() <= MAX_BROADCAST_SEEDS
     placed = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(_words("text")).alias("w"))
-        .filter(f"doc_id IS NOT NULL AND size(w) > {min(max(m) for m in MASKS)}")
+        .filter("doc_id IS NOT NULL")
         .select("doc_id", "w", F.expr("posexplode(w)").alias("pos", "_"))
         .select("doc_id", "w", "pos", F.expr(f"explode({_seeds('w', 'pos')})").alias("s"))
         .select("doc_id", "w", "pos", F.col("s.mask").alias("mask"), F.col("s.key").alias("key"))

@@ -95,7 +95,8 @@ def rules(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their columns, failed lines removed from ``text``; ``n_chars``, if there, follows."""
-    kept = judged(docs).filter("_q_kept")
+    # a filter right above would be pushed down with all its expressions inlined, and each evaluated again for every element of the arrays inside
+    kept = judged(docs).withColumn("_q_row", F.monotonically_increasing_id()).filter("_q_kept AND _q_row >= 0")
     new = {"text": F.col("_q_cleaned"), "n_chars": F.length("_q_cleaned").cast("long")}
     return kept.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
