@@ -35,7 +35,7 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterable, text: str = "text", most_bytes: int = 24 << 20) -> Iterator:
+def slices(batches: Iterable, text: str = "text", most_bytes: int = 12 << 20) -> Iterator:
     """Arrow batches cut so that each holds about ``most_bytes`` of text; one row is never cut."""
     import numpy as np
     import pyarrow.compute as pc
@@ -86,7 +86,7 @@ def joined(index, sizes, starts, flat):
 class Cache(dict):
     """A dict filled by ``make`` in bulk; emptied when it holds over ``most`` entries; long keys are never kept."""
 
-    def __init__(self, make, most: int = 600_000, longest: int = 64):
+    def __init__(self, make, most: int = 400_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

@@ -34,8 +34,12 @@ SHINGLE, PERCENT = 3, 85
 R, M = 3, 10
 #: Members of a bucket compared with each other in one task.
 BLOCK = 2_048
-#: Standard errors that a signature may fall short of the similarity.
+#: Bins of the second sketch (the least hash of each range, 16 bits of it), used to compare pairs only.
+BINS = 128
+#: Standard errors that the sketches of a pair may fall short of the similarity.
 SLACK = 4.0
+#: Ids of candidate documents that are broadcast at most (8 bytes each); more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 _LEFT = "doc_id long, n_shingles long, set_hi long, set_lo long, sig array<int>"
 
 
@@ -54,7 +58,7 @@ def shingles_of(texts, k: int) -> list:
     import pyarrow.compute as pc
 
     at, index, distinct = word_index(pc.ascii_lower(texts))
-    cache = _WORDS.setdefault("words", Cache(_hash_words))
+    cache = _WORDS.setdefault("words", Cache(_hash_words, most=200_000))
     words = np.array(cache.values_of(distinct.to_pylist()), "uint64")[index] if len(index) else np.zeros(0, "uint64")
     n = len(words)
     mixed = np.zeros(n, "uint64")
@@ -89,7 +93,7 @@ def multipliers(n: int):
 
 
 def signatures(docs: DataFrame, k: int, r: int, m: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hi, set_lo, sig): the set's size and digest and its minhashes, 32 bits each."""
+    """(doc_id, n_shingles, set_hi, set_lo, sig): the set's size and digest, its minhashes (32 bits each) and then the bins (two in 32 bits)."""
 
     def run(batches):
         import numpy as np
@@ -97,22 +101,29 @@ def signatures(docs: DataFrame, k: int, r: int, m: int) -> DataFrame:
         import xxhash
 
         a, b = multipliers(2 * r * m)
-        for batch in slices(batches):
+        n_ints = len(a) + BINS // 2
+        bounds = np.arange(1, BINS, dtype="uint64") * np.uint64(2**64 // BINS)
+        for batch in slices(batches, most_bytes=8 << 20):
             sets = shingles_of(batch.column("text"), k)
-            sig = np.zeros((len(sets), len(a)), "uint32")
+            sig = np.zeros((len(sets), n_ints), "uint32")
             hi, lo = [], []
             full = [i for i, s in enumerate(sets) if len(s)]
             for i in full:
                 x = sets[i]
-                for f in range(0, len(a), 15):
-                    y = x[None, :] * a[f : f + 15, None] + b[f : f + 15, None]
-                    sig[i, f : f + 15] = (y >> np.uint64(32)).min(1)
+                for f in range(0, len(a), 12):
+                    y = x[None, :] * a[f : f + 12, None] + b[f : f + 12, None]
+                    sig[i, f : f + y.shape[0]] = (y >> np.uint64(32)).min(1)
+                starts = np.concatenate([[0], np.searchsorted(x, bounds)])  # sets are sorted
+                held = np.diff(starts, append=len(x)) > 0
+                bins = np.zeros(BINS, "uint16")
+                bins[held] = (x[starts[held]] >> np.uint64(20)).astype("uint16") | np.uint16(1)  # 0: none
+                sig[i, len(a) :] = bins.view("uint32")
             for s in sets:
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 hi.append((d >> 64) - 2**63)
                 lo.append(d % 2**64 - 2**63)
             flat = pa.array(sig.ravel().view("int32"))
-            offsets = pa.array((np.arange(len(sets) + 1) * len(a)).astype("int32"))
+            offsets = pa.array((np.arange(len(sets) + 1) * n_ints).astype("int32"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n_shingles", "set_hi", "set_lo", "sig"]
             )
@@ -139,7 +150,9 @@ def buckets(reps: DataFrame, r: int, m: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; texts travel only for pairs' members."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair_ends")
+    if ends.count() <= MAX_BROADCAST_IDS:
+        ends = F.broadcast(ends)
     texts = written(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").groupBy("doc_id").agg(F.min("text").alias("text")), "pair_texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -191,8 +204,7 @@ def residual_pairs(members: DataFrame, r: int, m: int, percent: int) -> DataFram
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "i", "j", "rep", "label", "n_shingles", "sig", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    share = percent / 100
-    need = share - SLACK * (share * (1 - share) / (2 * r * m)) ** 0.5
+    share, n_hashes = percent / 100, 2 * r * m
 
     def run(group):
         import numpy as np
@@ -204,6 +216,8 @@ def residual_pairs(members: DataFrame, r: int, m: int, percent: int) -> DataFram
             i, j, lo, hi = (group.column(c)[0].as_py() for c in ("i", "j", "lo", "hi"))
             own = group.column("own").to_numpy()
             sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            bins = np.ascontiguousarray(sig[:, n_hashes:]).view("uint16")
+            sig = sig[:, :n_hashes]
             ids, counts = np.unique(label, return_counts=True)
             small = np.flatnonzero(label != ids[counts.argmax()])  # of two labels one at least is not the commonest
             for x in small.tolist():
@@ -215,7 +229,10 @@ def residual_pairs(members: DataFrame, r: int, m: int, percent: int) -> DataFram
                 if not len(y):
                     continue
                 same = sig[y] == sig[x]
-                y, same = y[same.mean(1) >= need], same[same.mean(1) >= need]
+                seen = n_hashes + ((bins[y] != 0) | (bins[x] != 0)).sum(1)
+                alike = same.sum(1) + ((bins[y] == bins[x]) & (bins[x] != 0)).sum(1)
+                near = alike / seen >= share - SLACK * np.sqrt(share * (1 - share) / seen)
+                y, same = y[near], same[near]
                 halves = same.reshape(len(y), 2, m, r).all(3)
                 first = (halves[:, 0].argmax(1) == i) & (halves[:, 1].argmax(1) == j)
                 out += [(min(int(rep[x]), b), max(int(rep[x]), b)) for b in rep[y[first]].tolist()]
