@@ -10,9 +10,9 @@ misses all left or all right halves: at most ``2 * (1 - s^r)^m`` (1.5e-4 at 0.85
 2. Half keys that only one class has are dropped (counted with partial sums), then tables are keyed.
 3. In every bucket each member is paired with one centre (another one in each table), which is linear in the bucket.
    The distinct pairs are confirmed on full sets, and linked classes labelled.
-4. Buckets that still hold several labels may hide links between two non-centres. Their pairs with
-   different labels are compared by signature, each in the first table it shares, in blocks of
-   ``BLOCK`` members; those that the signature allows are confirmed on full sets too.
+4. Buckets that still hold several labels may hide links between two non-centres. Their members are
+   compared by sketch and then by full sets wherever labels differ, each pair in the first left
+   half it shares, in blocks of ``BLOCK`` members; only links that join labels come out.
 5. Labels over all confirmed links are the components: min-label propagation with pointer jumping,
    each round a written table, so lost executors cost one round.
 
@@ -33,7 +33,7 @@ from spanforge.llm.common import Cache, slices, word_index, written
 SHINGLE, PERCENT = 3, 85
 R, M = 3, 10
 #: Members of a bucket compared with each other in one task.
-BLOCK = 2_048
+BLOCK, BLOCK_SHINGLES = 1_024, 2_000_000
 #: Bins of the second sketch (the least hash of each range, 16 bits of it), used to compare pairs only.
 BINS = 128
 #: Standard errors that the sketches of a pair may fall short of the similarity.
@@ -148,12 +148,17 @@ def buckets(reps: DataFrame, r: int, m: int) -> DataFrame:
     return keyed.join(many, "key").select("key", "i", "j", "rep", "n", "centre")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of some documents; where an id repeats, its least text. Few ids are broadcast, so that only their texts travel."""
+    ids = written(ids, "wanted_ids")
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").groupBy("doc_id").agg(F.min("text").alias("text")), "wanted_texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; texts travel only for pairs' members."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair_ends")
-    if ends.count() <= MAX_BROADCAST_IDS:
-        ends = F.broadcast(ends)
-    texts = written(docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").groupBy("doc_id").agg(F.min("text").alias("text")), "pair_texts")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -193,17 +198,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def residual_pairs(members: DataFrame, r: int, m: int, percent: int) -> DataFrame:
-    """(a, b) of classes that share a bucket but no label and whose signatures allow the similarity.
+def residual_links(members: DataFrame, k: int, r: int, m: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different labels that share a left half key, at least one for each two labels that have any.
 
-    ``members``: (key, i, j, n, rep, label, n_shingles, sig) of buckets with several labels. Each pair is seen in the
-    first table it shares. Buckets over ``BLOCK`` members are dealt as pairs of blocks, so that no
-    task holds more than two blocks of a bucket.
+    ``members``: (rep, label, n_shingles, sig, text) of classes whose buckets hold several labels. A pair is
+    looked at in the first left half it shares: sizes and sketches first, then full sets. No pair
+    leaves a task, only links, and those only while they join labels. Groups are dealt as
+    pairs of blocks of ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles, so no task holds more than
+    two blocks whatever a group's size.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "i", "j", "rep", "label", "n_shingles", "sig", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    keys = [f"named_struct('i', {i}, 'half', xxhash64(0, {i}, {', '.join(f'sig[{i * r + j}]' for j in range(r))}))" for i in range(m)]
+    halves = members.select("rep", "label", "n_shingles", F.expr(f"explode(array({', '.join(keys)}))").alias("h")).select("rep", "label", "n_shingles", "h.*")
+    stats = halves.groupBy("half").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    placed = halves.select("rep", "i", "half").join(stats.select("half", blocks.alias("blocks")), "half").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "i", "half", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    full = written(dealt, "residual_places").join(members, "rep")
     share, n_hashes = percent / 100, 2 * r * m
 
     def run(group):
@@ -211,18 +221,20 @@ def residual_pairs(members: DataFrame, r: int, m: int, percent: int) -> DataFram
         import pyarrow as pa
 
         out: list[tuple[int, int]] = []
-        label, rep, size = (group.column(c).to_numpy() for c in ("label", "rep", "n_shingles"))
-        if len(set(label.tolist())) > 1:
-            i, j, lo, hi = (group.column(c)[0].as_py() for c in ("i", "j", "lo", "hi"))
+        label, rep, size = (group.column(c).to_numpy().copy() for c in ("label", "rep", "n_shingles"))
+        ids, counts = np.unique(label, return_counts=True)
+        if len(ids) > 1:
+            i, lo, hi = (group.column(c)[0].as_py() for c in ("i", "lo", "hi"))
             own = group.column("own").to_numpy()
             sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             bins = np.ascontiguousarray(sig[:, n_hashes:]).view("uint16")
             sig = sig[:, :n_hashes]
-            ids, counts = np.unique(label, return_counts=True)
-            small = np.flatnonzero(label != ids[counts.argmax()])  # of two labels one at least is not the commonest
-            for x in small.tolist():
+            sets = shingles_of(group.column("text").combine_chunks(), k)
+            ends = np.cumsum(size)
+            flat = np.concatenate(sets)
+            common = ids[counts.argmax()]
+            for x in np.flatnonzero(label != common).tolist():  # of two labels one at least is not the commonest
                 ok = (label != label[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
-                ok &= (label == ids[counts.argmax()]) | (rep > rep[x])
                 if lo != hi:
                     ok &= own != own[x]
                 y = np.flatnonzero(ok)
@@ -232,13 +244,22 @@ def residual_pairs(members: DataFrame, r: int, m: int, percent: int) -> DataFram
                 seen = n_hashes + ((bins[y] != 0) | (bins[x] != 0)).sum(1)
                 alike = same.sum(1) + ((bins[y] == bins[x]) & (bins[x] != 0)).sum(1)
                 near = alike / seen >= share - SLACK * np.sqrt(share * (1 - share) / seen)
-                y, same = y[near], same[near]
-                halves = same.reshape(len(y), 2, m, r).all(3)
-                first = (halves[:, 0].argmax(1) == i) & (halves[:, 1].argmax(1) == j)
-                out += [(min(int(rep[x]), b), max(int(rep[x]), b)) for b in rep[y[first]].tolist()]
+                near &= same[:, : m * r].reshape(len(y), m, r).all(2).argmax(1) == i
+                y = y[near]
+                if not len(y):
+                    continue
+                each = size[y]
+                at = np.cumsum(each) - each
+                both = flat[np.arange(each.sum()) + np.repeat(ends[y] - each - at, each)]
+                place = np.minimum(np.searchsorted(sets[x], both), len(sets[x]) - 1)
+                n = np.add.reduceat((sets[x][place] == both).astype("int64"), at)
+                for j in y[100 * n >= percent * (each + size[x] - n)].tolist():
+                    if label[j] != label[x]:
+                        out.append((min(int(rep[x]), int(rep[j])), max(int(rep[x]), int(rep[j]))))
+                        label[label == label[j]] = label[x]
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return full.groupBy("half", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r: int = R, m: int = M) -> DataFrame:
@@ -261,9 +282,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     labelled = tables.filter("n > 2").join(labels, F.col("rep") == F.col("id"), "left").select("key", "i", "j", "n", "rep", F.coalesce("label", "rep").alias("label"))
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    members = labelled.join(mixed, "key").join(reps, "rep")
-    more = written(residual_pairs(members, r, m, percent).join(star, ["a", "b"], "left_anti"), "more_pairs")
-    more_links = confirmed(more, docs, k, percent)
+    open_reps = written(labelled.join(mixed, "key").select("rep", "label").distinct(), "open_reps")
+    members = open_reps.join(reps, "rep").join(texts_of(docs, open_reps.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep")
+    more_links = residual_links(written(members, "members"), k, r, m, percent)
     links = written(links.unionByName(more_links), "links")
 
     final = components(links)
