@@ -8,7 +8,7 @@ misses all left or all right halves: at most ``2 * (1 - s^r)^m`` (1.5e-4 at 0.85
 1. Signatures: one pass over the texts. Equal sets are one class from here on (its smallest id
    stands for it), so groups of exact copies cost nothing further.
 2. Half keys that only one class has are dropped (counted with partial sums), then tables are keyed.
-3. In every bucket each member is paired with one centre (another one in each table), which is linear in the bucket.
+3. In every bucket each member is paired with one centre (another one for each left half), which is linear in the bucket.
    The distinct pairs are confirmed on full sets, and linked classes labelled.
 4. Buckets that still hold several labels may hide links between two non-centres. Their members are
    compared by sketch and then by full sets wherever labels differ, each pair in the first left
@@ -144,7 +144,7 @@ def buckets(reps: DataFrame, r: int, m: int) -> DataFrame:
     kept = halves.join(shared, "half").groupBy("rep").agg(F.collect_list(F.struct("side", "i", "half")).alias("hs"))  # at most 2 * m of each class
     keyed = kept.select("rep", F.explode(F.filter("hs", lambda h: h["side"] == 0)).alias("a"), F.filter("hs", lambda h: h["side"] == 1).alias("bs")).select("rep", "a", F.explode("bs").alias("b"))
     keyed = written(keyed.select(F.xxhash64("a.half", "b.half").alias("key"), F.col("a.i").alias("i"), F.col("b.i").alias("j"), "rep"), "tensor_keys")
-    many = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "rep"), "rep")).getField("rep").alias("centre")).filter("n > 1")
+    many = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("i", "rep"), "rep")).getField("rep").alias("centre")).filter("n > 1")
     return keyed.join(many, "key").select("key", "i", "j", "rep", "n", "centre")
 
 
