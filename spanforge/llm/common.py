@@ -6,6 +6,7 @@ import os
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +85,12 @@ def joined(index, sizes, starts, flat):
 
 
 class Cache(dict):
-    """A dict filled by ``make`` in bulk; emptied when it holds over ``most`` entries; long keys are never kept."""
+    """A dict filled by ``make`` in bulk, up to ``most`` entries; long keys are never kept.
 
-    def __init__(self, make, most: int = 400_000, longest: int = 64):
+    Full, it keeps what it has (common keys come early) until under a fifth of the keys asked for are there; then it starts anew.
+    """
+
+    def __init__(self, make, most: int = 400_000, longest: int = 40):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 
@@ -95,15 +99,24 @@ class Cache(dict):
         out = list(map(self.get, keys))
         new = [i for i, v in enumerate(out) if v is None]
         if new:
-            if len(self) + len(new) > self.most:
+            if len(self) >= self.most and 5 * len(new) > 4 * len(keys) > 4_000:
                 self.clear()
-            for i, v in zip(new, self.make([keys[i] for i in new]), strict=True):
+            asked = [keys[i] for i in new]
+            made = self.make(asked)
+            for i, v in zip(new, made):
                 out[i] = v
-                if len(keys[i]) <= self.longest and len(self) < self.most:
-                    self[keys[i]] = v
+            if room := self.most - len(self):
+                self.update((k, v) for k, v in zip(asked[:room], made) if len(k) <= self.longest)
         return out
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
+
+
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, word by word.
 
@@ -120,9 +133,28 @@ class WordIds:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def ids(keys: list[str]) -> list[bytes]:
+        model, letters = tokenizer.model.tokenize, byte_letters()
+
+        def whole(keys: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
 
+        def ids(keys: list[str]) -> list[bytes]:
+            """Words of letters only go to the model at once, as what the normalizer and pre-tokenizer would make of them."""
+            out: list = [None] * len(keys)
+            rest = []
+            for i, k in enumerate(keys):
+                if not k.isalpha():
+                    rest.append(i)
+                elif k.isascii():
+                    out[i] = array("I", [x.id for x in model(k.lower())]).tobytes()
+                elif is_normalized("NFC", k) and "\u03a3" not in k and "\u0130" not in k:
+                    out[i] = array("I", [x.id for x in model("".join([letters[c] for c in k.lower().encode()]))]).tobytes()
+                else:
+                    rest.append(i)
+            for i, v in zip(rest, whole([keys[i] for i in rest])):
+                out[i] = v
+            return out
+
         marks = dict(zip(".,", ids([".", ","])))
 
         def make(keys: list[str]) -> list[bytes]:
