@@ -13,8 +13,8 @@ misses all left or all right halves: at most ``2 * (1 - s^r)^m`` (1.5e-4 at 0.85
 4. Buckets that still hold several labels may hide links between two non-centres. Their members are
    compared by sketch and then by full sets wherever labels differ, each pair in the first left
    half it shares, in blocks of ``BLOCK`` members; only links that join labels come out.
-5. Labels over all confirmed links are the components: min-label propagation with pointer jumping,
-   each round a written table, so lost executors cost one round.
+5. Labels over all confirmed links are the components, by contraction in hash order, each round a
+   written table, so lost executors cost one round.
 
 Words are runs without space and U+0009 to U+000D, A-Z lower-cased. A text with fewer words than a
 shingle has its whole sequence as its only shingle; an empty or null text has none and is linked
@@ -183,19 +183,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of all ends of ``links`` (a, b): label is the smallest id reachable.
 
-    Rounds of the smallest neighbouring label and one pointer jump, each a written table; only the
-    number of changed labels reaches the driver.
+    Each round every vertex points to its least neighbour in hash order, and links are contracted
+    along the pointers: a constant share of vertices goes each time, whatever the ids' order, and
+    stars go at once. Rounds are written tables; only whether links are left reaches the driver.
     """
-    edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        moved = written(step.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
-        labels = moved.select("id", "label")
-        if not moved.filter("label <> old").limit(1).count():
-            return labels
+    edges = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = written(edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("id"), F.col("a").alias("label")), "labels")
+    while edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+        to = both.groupBy(F.col("a").alias("v")).agg(F.min(order("b")).alias("m")).select("v", F.least("m", order("v")).getField("v").alias("to"))
+        to = written(to, "pointers")
+        moved = edges.join(to.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        edges = written(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        labels = written(labels.join(to.select(F.col("v").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    least = labels.groupBy("label").agg(F.min("id").alias("least"))
+    return written(labels.join(least, "label").select("id", F.col("least").alias("label")), "components")
 
 
 def residual_links(members: DataFrame, k: int, r: int, m: int, percent: int) -> DataFrame:
@@ -285,9 +288,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     open_reps = written(labelled.join(mixed, "key").select("rep", "label").distinct(), "open_reps")
     members = open_reps.join(reps, "rep").join(texts_of(docs, open_reps.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep")
     more_links = residual_links(written(members, "members"), k, r, m, percent)
-    links = written(links.unionByName(more_links), "links")
-
-    final = components(links)
+    known = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))  # one link a class stands for all found so far
+    final = components(known.unionByName(more_links))
     named = classes.join(final, F.col("rep") == F.col("id"), "left").select("set_hi", "set_lo", F.coalesce("label", "rep").alias("component"))
     # equal ids under different texts: each row goes by its own class
     out = rows.join(named, ["set_hi", "set_lo"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))))
