@@ -29,7 +29,7 @@ from spanforge.llm.common import WordIds, default_tokenizer, slices, text_or_emp
 CAPACITY = 2048
 END_ID = 0
 #: Nodes of the search, and fillings tried at each.
-MAX_NODES, WIDTH = 20_000, 3
+MAX_NODES, WIDTH = 3_000, 3
 #: Pieces ranked together.
 BLOCK_ROWS = 200_000
 
