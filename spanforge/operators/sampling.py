@@ -15,24 +15,16 @@ def exclusive_strata(rows: DataFrame, strata: dict[str, Column], rest: str) -> D
 
 
 def allocate(pools: dict[str, int], total: int, floor: int = 30) -> dict[str, int]:
-    """Sizes of strata: a floor each, the rest in proportion by largest remainder, never more than a pool has."""
-    out = {n: min(floor, pool) for n, pool in pools.items()}
-    left = total - sum(out.values())
-    while left > 0:
-        room = {n: pools[n] - out[n] for n in pools if pools[n] > out[n]}
-        if not room:
-            break
-        whole = sum(room.values())
-        share = {n: left * r / whole for n, r in room.items()}
-        add = {n: min(int(s), room[n]) for n, s in share.items()}
-        rest = left - sum(add.values())
-        for n in sorted(room, key=lambda n: (int(share[n]) - share[n], n)):
-            if rest and add[n] < room[n]:
-                add[n] += 1
-                rest -= 1
-        for n, a in add.items():
-            out[n] += a
-        left = total - sum(out.values())
+    """Sizes of strata: a floor each, the rest in proportion to the pools by largest remainder (ties by name), never more than a pool has."""
+    if any(n < floor for n in pools.values()) or floor * len(pools) > total or total > sum(pools.values()):
+        raise ValueError(f"{total} rows with at least {floor} of each do not fit pools of {pools}")
+    rest, whole = total - floor * len(pools), sum(pools.values())
+    share = {n: rest * p / whole for n, p in pools.items()}
+    out = {n: min(pools[n], floor + int(share[n])) for n in pools}
+    by_remainder = sorted(pools, key=lambda n: (int(share[n]) - share[n], n))
+    while (left := total - sum(out.values())) > 0:
+        for n in [n for n in by_remainder if out[n] < pools[n]][:left]:
+            out[n] += 1
     return out
 
 
