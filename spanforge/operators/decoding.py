@@ -66,17 +66,18 @@ def spans_by_index(tokens: DataFrame) -> DataFrame:
     return tokens.sparkSession.sql(f"SELECT doc_id, inline(spans) FROM (SELECT doc_id, {fold} AS spans FROM {{tokens}} GROUP BY doc_id) x", tokens=tokens)
 
 
+#: BIOES tags of tokens from character spans; ``{class}`` is the label column or one name for all.
+TAGS_OF = """
+WITH best AS (SELECT * FROM (SELECT t.doc_id, t.ti, p.si, p.label, row_number() OVER (PARTITION BY t.doc_id, t.ti ORDER BY least(t.e, p.e) - greatest(t.s, p.s) DESC, p.si) AS rn
+              FROM {tokens} t JOIN {spans} p ON t.doc_id = p.doc_id AND t.s < p.e AND p.s < t.e) x WHERE rn = 1),
+     m AS (SELECT t.doc_id, t.ti, b.label, b.si IS NOT NULL AS inside, lag(b.si) OVER w IS DISTINCT FROM b.si AS opens, lead(b.si) OVER w IS DISTINCT FROM b.si AS closes
+           FROM {tokens} t LEFT JOIN best b ON b.doc_id = t.doc_id AND b.ti = t.ti WINDOW w AS (PARTITION BY t.doc_id ORDER BY t.ti))
+SELECT doc_id, ti, CASE WHEN NOT inside THEN 'O' ELSE concat(CASE WHEN opens AND closes THEN 'S' WHEN opens THEN 'B' WHEN closes THEN 'E' ELSE 'I' END, '-', {class}) END AS tag FROM m"""
+
+
 def tags_of(tokens: DataFrame, spans: DataFrame, typed: bool = True, only: str = "span") -> DataFrame:
     """BIOES tags of tokens from character spans: each token goes to the span it overlaps most (earliest on ties); untyped gives all one class."""
-    return tokens.sparkSession.sql(
-        f"""
-        WITH best AS (SELECT * FROM (SELECT t.doc_id, t.ti, p.si, p.label, row_number() OVER (PARTITION BY t.doc_id, t.ti ORDER BY least(t.e, p.e) - greatest(t.s, p.s) DESC, p.si) AS rn
-                      FROM {{tokens}} t JOIN {{spans}} p ON t.doc_id = p.doc_id AND t.s < p.e AND p.s < t.e) x WHERE rn = 1),
-             m AS (SELECT t.doc_id, t.ti, b.label, b.si IS NOT NULL AS inside, lag(b.si) OVER w IS DISTINCT FROM b.si AS opens, lead(b.si) OVER w IS DISTINCT FROM b.si AS closes
-                   FROM {{tokens}} t LEFT JOIN best b ON b.doc_id = t.doc_id AND b.ti = t.ti WINDOW w AS (PARTITION BY t.doc_id ORDER BY t.ti))
-        SELECT doc_id, ti, CASE WHEN NOT inside THEN 'O' ELSE concat(CASE WHEN opens AND closes THEN 'S' WHEN opens THEN 'B' WHEN closes THEN 'E' ELSE 'I' END, '-', {"label" if typed else "'" + only + "'"}) END AS tag FROM m""",
-        tokens=tokens, spans=spans,
-    )
+    return tokens.sparkSession.sql(TAGS_OF.replace("{class}", "label" if typed else f"'{only}'"), tokens=tokens, spans=spans)
 
 
 def classes(labels: list[str]) -> list[str]:

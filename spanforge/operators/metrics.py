@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 SCORES = """
 SELECT criterion, tp, n_gold - tp AS fn, n_pred - tp AS fp,
        CASE WHEN n_pred > 0 THEN cast(tp AS double) / n_pred ELSE 0.0 END AS precision, CASE WHEN n_gold > 0 THEN cast(tp AS double) / n_gold ELSE 0.0 END AS recall,
-       CASE WHEN n_gold + n_pred > 0 THEN 2.0 * tp / (n_gold + n_pred) ELSE 0.0 END AS f1, CASE WHEN 4 * n_gold + n_pred > 0 THEN 5.0 * tp / (4 * n_gold + n_pred) ELSE 0.0 END AS f2
+       CASE WHEN n_gold + n_pred > 0 THEN cast(2 * tp AS double) / (n_gold + n_pred) ELSE 0.0 END AS f1, CASE WHEN 4 * n_gold + n_pred > 0 THEN cast(5 * tp AS double) / (4 * n_gold + n_pred) ELSE 0.0 END AS f2
 FROM {counts}"""
 
 #: Precision and recall from different numbers of matches; F only where both are defined and not both 0.

@@ -28,26 +28,49 @@ def allocate(pools: dict[str, int], total: int, floor: int = 30) -> dict[str, in
     return out
 
 
+#: Parts of a stratum ranked on their own before the strata are.
+BLOCKS = 256
+
+
 def hash_sample(rows: DataFrame, key: str, n: int | dict[str, int], seed: int = 42, stratum: str | None = None) -> DataFrame:
-    """``n`` rows (of each stratum) with the least hash of seed and key: the same whatever the partitions."""
-    rank = F.row_number().over(Window.partitionBy(F.col(stratum) if stratum else F.lit(0)).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)))
-    ranked = rows.withColumn("_rank", rank)
+    """``n`` rows (of each stratum) with the least hash of seed and key: the same whatever the partitions.
+
+    A stratum may hold most rows, so each is ranked in blocks first: its ``n`` least are among the ``n`` least of its blocks.
+    """
+    order = [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    if stratum is None:
+        return rows.orderBy(*order).limit(n)
+    block = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(BLOCKS))
     if isinstance(n, dict):
-        most = F.create_map(*(F.lit(x) for kv in n.items() for x in kv))
-        return ranked.filter(F.col("_rank") <= F.coalesce(most[F.col(stratum)], F.lit(0))).drop("_rank")
-    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+        quota = F.coalesce(F.create_map(*(F.lit(x) for kv in n.items() for x in kv))[F.col(stratum)], F.lit(0)) if n else F.lit(0)
+    else:
+        quota = F.lit(n)
+    for by in ([F.col(stratum), block], [F.col(stratum)]):
+        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= quota).drop("_rank")
+    return rows
 
 
 def split(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
     """``rows`` with ``part`` train or validation: by hash order, floor(share * n) validation rows, at least 1 and at most n - 1.
 
-    The cut is found as a hash threshold from the count, so no global sort of rows takes place beyond the ids' hashes.
+    Counts of the hash's first 16 bits (at most 65,536 rows) tell in which slice the cut lies; only that
+    slice is sorted, and a row is placed by comparing it with the cut. Rows of one key stay together, so
+    repeated keys at the cut may add a few; rows with a null key train.
     """
-    n = rows.count()
-    most = max(1, min(n - 1, int(share * n))) if n > 1 else 0
-    ids = rows.select(key, F.xxhash64(F.lit(seed), F.col(key)).alias("_h"))
-    cut = ids.orderBy("_h", key).limit(most).select(key).withColumn("_v", F.lit(True))
-    return rows.join(cut, key, "left").withColumn("part", F.when(F.col("_v"), "validation").otherwise("train")).drop("_v")
+    slice_ = F.shiftright("_h", 48)
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    ids = hashed.filter(F.col(key).isNotNull()).select("_h", F.col(key).alias("_k"), slice_.alias("_s"))
+    counts = sorted((r["_s"], r["count"]) for r in ids.groupBy("_s").count().collect())
+    n = sum(c for _, c in counts)
+    left = max(1, min(n - 1, int(share * n))) if n > 1 else 0
+    part = F.lit("train")
+    for s, c in counts if left else ():
+        if left <= c:
+            cut = ids.filter(F.col("_s") == s).orderBy("_h", "_k").limit(left).agg(F.max(F.struct("_h", "_k")).alias("x")).first()["x"]
+            part = F.when((F.col("_h") < cut["_h"]) | ((F.col("_h") == cut["_h"]) & (F.col(key) <= F.lit(cut["_k"]))), "validation").otherwise("train")
+            break
+        left -= c
+    return hashed.withColumn("part", part).drop("_h")
 
 
 def mixed_key(key: str, seed: int) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge import functions as fn
-from spanforge.operators import corpus, decoding, matching, metrics, rules, sampling, taxonomy
+from spanforge.operators import corpus, decoding, matching, metrics, rules, sampling, summaries, taxonomy
 from spanforge.plans import fixtures
 from spanforge.sources import readers, sinks
 
@@ -344,7 +344,12 @@ def span_scores(spark, sf_dir):
     return metrics.run(metrics.SPLIT_SCORES, c, counts=c)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CAND}, n AS (SELECT (SELECT count(*) FROM gold) AS n_gold, (SELECT count(*) FROM pred) AS n_pred),
+c AS (SELECT k.criterion, k.tp, n.n_gold, n.n_pred FROM ("""
+    + " UNION ALL ".join(f"SELECT '{c}' AS criterion, count(*) AS tp FROM (WITH RECURSIVE {matching.GREEDY_WALK.replace('{keep}', k)})" for c, k in (("strict", "exact AND same_label"), ("partial", "same_label"), ("type", "true")))
+    + f") k, n) {fill(metrics.SCORES, counts='c')}"
+)
 def three_criteria(spark, sf_dir):
     """AGG1, AGG4: strict, partial and type scores of the one-to-one match."""
     gold, pred = fixtures.frames(spark, sf_dir)
@@ -461,7 +466,12 @@ def tags_to_spans_strict(spark, sf_dir):
     return decoding.spans_strict(fixtures.tokens(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {fixtures.TOKEN_CTE}, t AS (SELECT doc_id, ti, split_part(tag, '-', 1) AS pre, substr(tag, 3) AS lab FROM tok),
+p AS (SELECT *, coalesce(pre IN ('I', 'E') AND lag(pre) OVER w IN ('B', 'I') AND lag(lab) OVER w = lab AND lag(ti) OVER w = ti - 1, false) AS goes_on FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY ti)),
+i AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ti) AS island FROM p WHERE pre <> 'O')
+SELECT doc_id, lab AS label, min(ti) AS first, max(ti) AS last FROM i GROUP BY doc_id, island, lab"""
+)
 def tags_to_spans_by_index(spark, sf_dir):
     """WIN8: a fold; tests hold it against a plain loop."""
     return decoding.spans_by_index(fixtures.tokens(spark, sf_dir))
@@ -477,7 +487,7 @@ def viterbi_decode(spark, sf_dir):
     return out.select("doc_id", F.concat_ws(" ", "argmax").alias("argmax"), F.concat_ws(" ", "viterbi").alias("viterbi"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {fixtures.TOKEN_CTE}, {G}, spans AS (SELECT doc_id, gi AS si, s, e, label FROM gold) SELECT * FROM ({fill(decoding.TAGS_OF, tokens='tok', spans='spans').replace('{class}', 'cast(label AS varchar)')}) x")
 def spans_to_tags(spark, sf_dir):
     """DEC6, JN8: tokens to the span they overlap most."""
     gold = fixtures.frames(spark, sf_dir)[0].select("doc_id", F.col("gi").alias("si"), "s", "e", F.col("label").cast("string").alias("label"))
@@ -613,3 +623,125 @@ def corpus_report(spark, sf_dir):
     """AGG25."""
     n = F.length("text")
     return docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("docs"), F.sum(n).alias("chars"), F.avg(n).alias("mean_chars"), F.max(n).cast("long").alias("longest"))
+
+
+# --- report tables ---------------------------------------------------------------------------
+
+HITS = f"hits AS ({fill(summaries.HITS, pred='pred', cand='cand', k=3)})"
+_FULL = "SELECT c.*, m.matched FROM {cov} c JOIN {m} m ON m.doc_id = c.doc_id AND m.gi = c.gi"
+_TOUCHES_NONE = "SELECT p.doc_id, p.pi FROM {pred} p WHERE NOT EXISTS (SELECT 1 FROM {gold} g WHERE g.doc_id = p.doc_id AND g.s < p.e AND p.s < g.e)"
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    gold, a = fixtures.frames(spark, sf_dir)
+    return gold, {"first": a, "second": fixtures.frames(spark, sf_dir, drop=3)[1]}
+
+
+def _stacked(parts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn("layer", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+_DECODERS = f"""WITH {ISL}, {SECOND}, {HITS}, hits2 AS ({fill(summaries.HITS, pred='pred2', cand='cand2', k=3)}),
+f AS (SELECT 'first' AS layer, * FROM ({fill(_FULL, cov='cov', m='m')}) UNION ALL SELECT 'second', * FROM ({fill(_FULL, cov='cov2', m='m2')})),
+h AS (SELECT 'first' AS layer, * FROM hits UNION ALL SELECT 'second', * FROM hits2) {fill(summaries.DECODERS, facts='f', hits='h')}"""
+
+
+@query(_DECODERS)
+def decoder_summary(spark, sf_dir):
+    """AGG7: two decodings side by side."""
+    gold, layers = _layers(spark, sf_dir)
+    cands = {n: matching.candidates(gold, p) for n, p in layers.items()}
+    facts = {n: metrics.run(_FULL, gold, cov=matching.coverage(gold, p), m=matching.threshold(gold, cands[n])) for n, p in layers.items()}
+    hits = {n: metrics.run(summaries.HITS, gold, pred=p, cand=cands[n], k=3) for n, p in layers.items()}
+    return metrics.run(summaries.DECODERS, gold, facts=_stacked(facts), hits=_stacked(hits))
+
+
+@query(f"WITH {CAND}, {HITS} {fill(summaries.FP_OWNERS, hits='hits', cand='cand')}")
+def fp_owners(spark, sf_dir):
+    """AGG8: false positives by the label they stand next to."""
+    gold, pred = fixtures.frames(spark, sf_dir)
+    cand = matching.candidates(gold, pred)
+    return metrics.run(summaries.FP_OWNERS, cand, hits=metrics.run(summaries.HITS, cand, pred=pred, cand=cand, k=3), cand=cand)
+
+
+@query(
+    f"""WITH {ISL}, {SECOND}, covers AS (SELECT 'first' AS layer, * FROM cov UNION ALL SELECT 'second', * FROM cov2),
+pure AS (SELECT 'first' AS layer, * FROM ({fill(_TOUCHES_NONE, pred='pred', gold='gold')}) UNION ALL SELECT 'second', * FROM ({fill(_TOUCHES_NONE, pred='pred2', gold='gold')})) {fill(summaries.LAYER_STATES, covers='covers', pure='pure')}"""
+)
+def layer_states(spark, sf_dir):
+    """AGG18."""
+    gold, layers = _layers(spark, sf_dir)
+    covers = {n: matching.coverage(gold, p) for n, p in layers.items()}
+    pure = {n: metrics.run(_TOUCHES_NONE, gold, pred=p, gold=gold) for n, p in layers.items()}
+    return metrics.run(summaries.LAYER_STATES, gold, covers=_stacked(covers), pure=_stacked(pure))
+
+
+@query(f"WITH {CAND} {fill(summaries.VERDICTS, gold='gold', cand='cand')}")
+def boundary_verdicts(spark, sf_dir):
+    """PRD7, AGG28: exact, partial and missed golds of a layer by label."""
+    gold, pred = fixtures.frames(spark, sf_dir)
+    return metrics.run(summaries.VERDICTS, gold, gold=gold, cand=matching.candidates(gold, pred))
+
+
+@query(f"WITH {ISL}, {SECOND}, {_UNION} {fill(summaries.RESCUED, before='cov2', after='covu')}")
+def rescued_by_union(spark, sf_dir):
+    """MAT12: golds that the union covers and one layer does not."""
+    gold, layers = _layers(spark, sf_dir)
+    both = layers["first"].select("doc_id", "s", "e", "label").union(layers["second"].select("doc_id", "s", "e", "label")).distinct()
+    return metrics.run(summaries.RESCUED, gold, before=matching.coverage(gold, layers["second"]), after=matching.coverage(gold, both))
+
+
+@query(f"WITH {fixtures.TOKEN_CTE}, tags AS (SELECT tag AS gold_tag, pred_tag FROM tok), per AS ({fill(metrics.TOKEN_METRICS, tags='tags')}) {fill(summaries.MACRO, tags='per')}")
+def macro_by_label(spark, sf_dir):
+    """AGG31."""
+    per = token_metrics(spark, sf_dir)
+    return metrics.run(summaries.MACRO, per, tags=per)
+
+
+@query(f"WITH {fixtures.TOKEN_CTE} {fill(summaries.TOKEN_WINDOWS, tokens='tok', size=3)}")
+def token_windows(spark, sf_dir):
+    """WIN15."""
+    t = fixtures.tokens(spark, sf_dir)
+    return metrics.run(summaries.TOKEN_WINDOWS, t, tokens=t, size=3)
+
+
+_from_facts("inconsistent_labels", summaries.INCONSISTENT, "WIN14")
+_from_facts("example_buckets", summaries.EXAMPLES, "TOP5", quota=3)
+
+
+@query("""WITH t AS (SELECT unnest(['O', 'B-x', 'I-x', 'E-x', 'S-x', 'B-y', 'I-y', 'E-y', 'S-y']) AS tag, unnest(range(9)) AS i)
+SELECT a.tag, count(*) AS n_next, string_agg(b.tag, ',' ORDER BY b.i) AS next FROM t a JOIN t b ON CASE WHEN a.tag[1] IN ('O', 'E', 'S') THEN b.tag[1] IN ('O', 'B', 'S') ELSE b.tag[1] IN ('I', 'E') AND a.tag[3:] = b.tag[3:] END GROUP BY a.tag""")
+def transition_table(spark, sf_dir):
+    """DEC3, DEC4: which tag may follow which."""
+    return summaries.transition_table(spark, ["x", "y"])
+
+
+@query(f"""WITH {RULED} SELECT r.doc_id, r.s, r.label, substr(d.text, greatest(0, r.s - 15) + 1, r.s - greatest(0, r.s - 15)) AS before, substr(d.text, r.e + 1, 15) AS after FROM ruled r JOIN documents d USING (doc_id)""")
+def span_contexts(spark, sf_dir):
+    """WIN16: the characters around each span."""
+    d = docs(spark, sf_dir).select("doc_id", "text", F.explode(rules.found("text", rules.TEXT_RULES)).alias("x"))
+    s, e = F.col("x.start"), F.col("x.end")
+    before = F.greatest(F.lit(0), s - 15)
+    return d.select("doc_id", s.cast("long").alias("s"), "x.label", fn.span_text("text", before, s).alias("before"), fn.span_text("text", e, e + 15).alias("after"))
+
+
+@query("""WITH a AS (SELECT text, max(doc_id) AS x FROM documents WHERE source <> 'src0' GROUP BY text), b AS (SELECT text, max(doc_id) AS y FROM documents WHERE lang = 'en' GROUP BY text)
+SELECT d.doc_id, a.x AS model_id, b.y AS rule_id, a.text IS NULL AS model_missing, b.text IS NULL AS rule_missing FROM documents d LEFT JOIN a ON a.text = d.text LEFT JOIN b ON b.text = d.text""")
+def three_way_join(spark, sf_dir):
+    """JN3: gold, model and rules by text, with what is missing on each side."""
+    d = docs(spark, sf_dir)
+    side = lambda x: x.select(F.col("doc_id").alias("ord"), "text", F.array("doc_id").alias("spans"))
+    out = summaries.three_way(d.select("doc_id", "text"), side(d.filter("source <> 'src0'")), side(d.filter("lang = 'en'")))
+    return out.select("doc_id", F.col("model_spans")[0].alias("model_id"), F.col("rule_spans")[0].alias("rule_id"), "model_missing", "rule_missing")
+
+
+@query("SELECT d.doc_id, max(l.doc_id * 10 + l.quality) AS last_row FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.doc_id")
+def id_join(spark, sf_dir):
+    """JN2: predictions without text, by id."""
+    pred = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("cast(doc_id AS string) AS id", "quality AS ord", "array(doc_id * 10 + quality) AS spans")
+    return summaries.without_text(docs(spark, sf_dir).selectExpr("doc_id", "cast(doc_id AS string) AS id"), pred).select("doc_id", F.col("pred_spans")[0].alias("last_row"))
+

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge import functions as fn
-from spanforge.operators import corpus, decoding, matching, rules, sampling, taxonomy
+from spanforge.operators import corpus, decoding, matching, rules, sampling, summaries, taxonomy
 from spanforge.sources import readers, sinks
 
 
@@ -156,3 +156,31 @@ def test_match_properties(spark):
     assert {(r.gi, r.covered) for r in matching.coverage(gold, pred).collect()} == {(1, 5), (2, 2)}
     assert matching.split_cover(gold, pred).collect()[0]["gi"] == 1
     assert [(r.s, r.e) for r in matching.difference(matching.islands(pred), matching.islands(gold)).collect()] == [(5, 6)]
+
+
+def test_samples_by_blocks(spark):
+    """Ranks in blocks give what one sort of all rows gives; strata may be missing, null or under their quota."""
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else ("few" if i < 9 else None)) for i in range(3000)], "id long, kind string")
+    order = [r["id"] for r in rows.orderBy(F.xxhash64(F.lit(42), "id"), "id").collect()]
+    kind = {r["id"]: r["kind"] for r in rows.collect()}
+    want = {"hot": 40, "few": 10, "gone": 5}
+    got = {r["id"] for r in sampling.hash_sample(rows, "id", want, stratum="kind").collect()}
+    assert got == {i for k, n in want.items() for i in [x for x in order if kind[x] == k][:n]}
+    assert {r["id"] for r in sampling.hash_sample(rows, "id", 7).collect()} == set(order[:7])
+    parts = sampling.split(rows, "id", share=0.13)
+    assert {r["id"] for r in parts.filter("part = 'validation'").collect()} == set(order[:390])
+    assert parts.columns == ["id", "kind", "part"] and parts.count() == 3000
+    for n, valid in ((0, 0), (1, 0), (2, 1)):
+        assert sampling.split(rows.filter(F.col("id") < n), "id").filter("part = 'validation'").count() == valid
+    odd = spark.createDataFrame([(None,), (5,), (5,), (6,)], "id long")
+    assert sorted(r["part"] for r in sampling.split(odd, "id").filter("id IS NULL").collect()) == ["train"]
+
+
+def test_joins_by_text_and_id(spark):
+    gold = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], "id string, text string")
+    model = spark.createDataFrame([(0, "a", [1]), (1, "a", [2]), (2, None, [3])], "ord long, text string, spans array<int>")
+    rule = spark.createDataFrame([(0, "b", [7])], "ord long, text string, spans array<int>")
+    out = {r["id"]: (r["model_spans"], r["rule_spans"], r["model_missing"], r["rule_missing"]) for r in summaries.three_way(gold, model, rule).collect()}
+    assert out == {"1": ([2], None, False, True), "2": (None, [7], True, False), "3": (None, None, True, True)}
+    by_id = spark.createDataFrame([(0, "2", [1]), (4, "2", [9]), (1, "8", [3])], "ord long, id string, spans array<int>")
+    assert {r["id"]: r["pred_spans"] for r in summaries.without_text(gold, by_id).collect()} == {"1": None, "2": [9], "3": None}
