@@ -77,7 +77,7 @@ FROM (SELECT label, count(*) AS n FROM {gold} GROUP BY label) g FULL OUTER JOIN
 
 #: Frequencies, ties by first appearance.
 FREQUENCY = """
-SELECT name, n, rank FROM (SELECT name, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM (SELECT name, count(*) AS n, min(ord) AS first FROM {names} GROUP BY name) a) b WHERE rank <= {top}"""
+SELECT name, n, cast(rank AS bigint) AS rank FROM (SELECT name, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM (SELECT name, count(*) AS n, min(ord) AS first FROM {names} GROUP BY name) a) b WHERE rank <= {top}"""
 
 #: Shares in percent with two decimals, from exact counts.
 WEIGHTS = """

@@ -62,7 +62,7 @@ HAVING count(*) > 1 AND max(CASE WHEN covered = glen THEN 1 ELSE 0 END) = 1 AND
 
 #: Example buckets by state, so many of each label in each.
 EXAMPLES = """
-SELECT bucket, label, doc_id, gi, rn FROM (SELECT bucket, label, doc_id, gi, row_number() OVER (PARTITION BY bucket, label ORDER BY doc_id, gi) AS rn FROM (
+SELECT bucket, label, doc_id, gi, cast(rn AS bigint) AS rn FROM (SELECT bucket, label, doc_id, gi, row_number() OVER (PARTITION BY bucket, label ORDER BY doc_id, gi) AS rn FROM (
   SELECT doc_id, gi, label, CASE WHEN covered = glen AND matched = 1 THEN 'A' WHEN covered = glen THEN 'B' WHEN covered > 0 AND matched = 1 THEN 'C' WHEN covered > 0 THEN 'D' ELSE 'E' END AS bucket FROM {facts}) a) b WHERE rn <= {quota}"""
 
 #: Values by kind whose check digits hold although they must not.

@@ -42,12 +42,12 @@ STRONG = """SELECT doc_id, count(*) AS n FROM {facts} GROUP BY doc_id HAVING min
 
 #: The first examples of each axis, one a document.
 TOP_PER_AXIS = """
-SELECT axis, doc_id, gi, rn FROM (SELECT axis, doc_id, gi, row_number() OVER (PARTITION BY axis ORDER BY doc_id, gi) AS rn
+SELECT axis, doc_id, gi, cast(rn AS bigint) AS rn FROM (SELECT axis, doc_id, gi, row_number() OVER (PARTITION BY axis ORDER BY doc_id, gi) AS rn
   FROM (SELECT axis, doc_id, gi, row_number() OVER (PARTITION BY axis, doc_id ORDER BY gi) AS own FROM {axes}) a WHERE own = 1) b WHERE rn <= {top}"""
 
 #: Items in turn from each of four labels until there are enough.
 ROUND_ROBIN = """
-SELECT label, doc_id, gi, pick FROM (SELECT *, row_number() OVER (ORDER BY rn, label) AS pick FROM (
+SELECT label, doc_id, gi, cast(pick AS bigint) AS pick FROM (SELECT *, row_number() OVER (ORDER BY rn, label) AS pick FROM (
   SELECT label, doc_id, gi, row_number() OVER (PARTITION BY label ORDER BY doc_id, gi) AS rn FROM {gold} WHERE label IN (0, 1, 2, 3)) a WHERE rn <= {top}) b WHERE pick <= {top}"""
 
 #: Documents by number of golds, all covered in full.

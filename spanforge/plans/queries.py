@@ -542,7 +542,7 @@ def strata_assignment(spark, sf_dir):
 @query(f"SELECT lang, doc_id, rn FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {sampling.mixed_key('doc_id', 42)}, doc_id) AS rn FROM documents) x WHERE rn <= 5")
 def hash_sample(spark, sf_dir):
     """SMP3 with a portable mixing of the id."""
-    return docs(spark, sf_dir).selectExpr("lang", "doc_id", f"row_number() OVER (PARTITION BY lang ORDER BY {sampling.mixed_key('doc_id', 42)}, doc_id) AS rn").filter("rn <= 5")
+    return docs(spark, sf_dir).selectExpr("lang", "doc_id", f"row_number() OVER (PARTITION BY lang ORDER BY {sampling.mixed_key('doc_id', 42)}, doc_id) AS rn").filter("rn <= 5").withColumn("rn", F.col("rn").cast("long"))
 
 
 @query()
