@@ -51,7 +51,7 @@ GROUP BY doc_id, island"""
 
 #: Characters of each gold that any prediction covers, and its state.
 COVERAGE = """
-SELECT g.doc_id, g.gi, g.label, g.e - g.s AS glen, cast(coalesce(sum(greatest(0, least(g.e, u.e) - greatest(g.s, u.s))), 0) AS bigint) AS covered
+SELECT g.doc_id, g.gi, g.label, g.e - g.s AS glen, cast(sum(CASE WHEN u.s IS NULL THEN 0 ELSE least(g.e, u.e) - greatest(g.s, u.s) END) AS bigint) AS covered
 FROM {gold} g LEFT JOIN {islands} u ON u.doc_id = g.doc_id AND g.s < u.e AND u.s < g.e GROUP BY g.doc_id, g.gi, g.label, g.s, g.e"""
 
 STATES = """
@@ -79,7 +79,7 @@ WHERE s IS NOT NULL AND s < e"""
 #: Characters masked beyond gold, of each prediction: those that no earlier one has claimed.
 OVERMASK = """
 SELECT p.doc_id, p.pi, p.label, greatest(0, p.e - greatest(p.s, coalesce(p.claimed, 0)))
-       - cast(coalesce(sum(greatest(0, least(p.e, u.e) - greatest(p.s, u.s, coalesce(p.claimed, 0)))), 0) AS bigint) AS over_chars
+       - cast(sum(CASE WHEN u.s IS NULL THEN 0 ELSE greatest(0, least(p.e, u.e) - greatest(p.s, u.s, coalesce(p.claimed, 0))) END) AS bigint) AS over_chars
 FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e, label, pi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS claimed FROM {pred}) p
 LEFT JOIN {islands} u ON u.doc_id = p.doc_id AND p.s < u.e AND u.s < p.e GROUP BY p.doc_id, p.pi, p.label, p.s, p.e, p.claimed"""
 

@@ -709,7 +709,6 @@ def token_windows(spark, sf_dir):
     return metrics.run(summaries.TOKEN_WINDOWS, t, tokens=t, size=3)
 
 
-_from_facts("inconsistent_labels", summaries.INCONSISTENT, "WIN14")
 _from_facts("example_buckets", summaries.EXAMPLES, "TOP5", quota=3)
 
 
@@ -745,3 +744,10 @@ def id_join(spark, sf_dir):
     pred = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("cast(doc_id AS string) AS id", "quality AS ord", "array(doc_id * 10 + quality) AS spans")
     return summaries.without_text(docs(spark, sf_dir).selectExpr("doc_id", "cast(doc_id AS string) AS id"), pred).select("doc_id", F.col("pred_spans")[0].alias("last_row"))
 
+
+
+@query(f"WITH {fixtures.ctes(slot=20)}, isl AS ({fill(matching.ISLANDS, spans='pred', op='>')}), cov AS ({fill(matching.COVERAGE, gold='gold', islands='isl')}) {fill(summaries.INCONSISTENT, facts='cov')}")
+def inconsistent_labels(spark, sf_dir):
+    """WIN14, over spans far enough apart that some are missed."""
+    cov = matching.coverage(*fixtures.frames(spark, sf_dir, slot=20))
+    return metrics.run(summaries.INCONSISTENT, cov, facts=cov)

@@ -184,3 +184,11 @@ def test_joins_by_text_and_id(spark):
     assert out == {"1": ([2], None, False, True), "2": (None, [7], True, False), "3": (None, None, True, True)}
     by_id = spark.createDataFrame([(0, "2", [1]), (4, "2", [9]), (1, "8", [3])], "ord long, id string, spans array<int>")
     assert {r["id"]: r["pred_spans"] for r in summaries.without_text(gold, by_id).collect()} == {"1": None, "2": [9], "3": None}
+
+
+def test_nothing_meets(spark):
+    """A gold without predictions is not covered at all; a prediction without gold masks all its characters in vain."""
+    gold = spark.createDataFrame([(1, 1, 0, 5, 1), (1, 2, 20, 26, 1), (2, 1, 3, 4, 1)], "doc_id long, gi long, s long, e long, label long")
+    pred = spark.createDataFrame([(1, 1, 3, 7, 1), (1, 2, 6, 9, 1), (1, 3, 40, 44, 1), (3, 1, 2, 5, 1)], "doc_id long, pi long, s long, e long, label long")
+    assert {(r.doc_id, r.gi): r.covered for r in matching.coverage(gold, pred).collect()} == {(1, 1): 2, (1, 2): 0, (2, 1): 0}
+    assert {(r.doc_id, r.pi): r.over_chars for r in matching.overmask(gold, pred).collect()} == {(1, 1): 2, (1, 2): 2, (1, 3): 4, (3, 1): 3}
