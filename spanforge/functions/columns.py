@@ -259,6 +259,20 @@ def changed_ranges(a, b) -> Column:
     return union_of(F.transform(differs, lambda i: F.struct(i.cast("int").alias("start"), (i + 1).cast("int").alias("end"), F.lit("").alias("label"))))
 
 
+def uncovered(spans, by) -> Column:
+    """Ranges of ``spans`` that no span of ``by`` covers, in order; labels of touching spans join as in ``union_of``."""
+    other = union_of(by)
+
+    def cut(x):
+        meets = F.filter(other, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        piece = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), x["label"].alias("label"))
+        zero = F.struct(x["start"].alias("at"), F.array().cast(SPANS).alias("out"))
+        step = lambda a, y: F.struct(y["end"].alias("at"), F.array_append(a["out"], piece(a["at"], y["start"])).alias("out"))
+        return F.aggregate(meets, zero, step, lambda a: F.array_append(a["out"], piece(a["at"], x["end"])))
+
+    return F.filter(F.flatten(F.transform(union_of(spans), cut)), lambda x: x["start"] < x["end"])
+
+
 # --- tags -----------------------------------------------------------------------------------
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge import functions as fn
-from spanforge.operators import corpus, decoding, matching, metrics, rules, sampling, summaries, taxonomy
-from spanforge.plans import fixtures
+from spanforge.api import Redactor
+from spanforge.operators import corpus, decoding, matching, metrics, rewrites, rules, sampling, summaries, taxonomy
+from spanforge.plans import evaluation, fixtures
 from spanforge.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -751,3 +752,78 @@ def inconsistent_labels(spark, sf_dir):
     """WIN14, over spans far enough apart that some are missed."""
     cov = matching.coverage(*fixtures.frames(spark, sf_dir, slot=20))
     return metrics.run(summaries.INCONSISTENT, cov, facts=cov)
+
+
+# --- whole evaluation, rewrites, caller's interface ---------------------------------------------
+
+_COUNTS = """count(*)::DOUBLE AS gold, sum(matched)::DOUBLE AS tp, sum(1 - matched)::DOUBLE AS fn, count(*) FILTER (covered = glen)::DOUBLE AS "full", count(*) FILTER (covered > 0 AND covered < glen)::DOUBLE AS partial,
+count(*) FILTER (covered = 0)::DOUBLE AS "none", coalesce(sum(glen - covered) FILTER (covered > 0 AND covered < glen), 0)::DOUBLE AS exposed_chars, count(DISTINCT doc_id) FILTER (matched = 0)::DOUBLE AS missed_docs, sum(matched)::DOUBLE / count(*) AS recall"""
+
+
+@query(
+    f"""WITH {ISL}, {HITS}, f AS ({fill(_FULL, cov='cov', m='m')}), a AS (SELECT 'overall' AS name, {_COUNTS} FROM f UNION ALL SELECT 'label.' || label, {_COUNTS} FROM f GROUP BY label),
+l AS (UNPIVOT a ON gold, tp, fn, "full", partial, "none", exposed_chars, missed_docs, recall INTO NAME k VALUE v)
+SELECT name || '.' || k AS key, v AS value FROM l UNION ALL SELECT 'overall.pred', count(*)::DOUBLE FROM hits UNION ALL SELECT 'overall.fp', sum(1 - hit)::DOUBLE FROM hits UNION ALL SELECT 'overall.precision', sum(hit)::DOUBLE / count(*) FROM hits"""
+)
+def evaluation_scores(spark, sf_dir):
+    """CTL1, SNK3, CTL4: all metrics of an evaluation in one table."""
+    return evaluation.scores(*fixtures.frames(spark, sf_dir))
+
+
+_RATES = "SELECT label, sum(matched) AS n, count(*) AS d FROM {facts} GROUP BY label"
+
+
+@query(
+    f"""WITH {FACTS}, r AS ({fill(_RATES, facts='facts')}), x AS (SELECT label, CASE WHEN label = 2 THEN NULL ELSE floor(n * 100 / d) / 100.0::DOUBLE END AS rate, CASE WHEN label = 1 THEN NULL ELSE d END AS support FROM r)
+SELECT label, CASE WHEN rate IS NULL THEN 'n/a' WHEN support IS NULL THEN printf('%.4f', rate) ELSE CASE WHEN abs(rate * support - round_even(rate * support, 0)) > 0.05 THEN '~' ELSE '' END || round_even(rate * support, 0)::BIGINT || '/' || support END AS fraction FROM x"""
+)
+def recall_fractions(spark, sf_dir):
+    """AGG27: counts restored from rounded rates; one label without support, one without rate."""
+    facts = _facts(spark, sf_dir)
+    r = metrics.run(_RATES, facts, facts=facts)
+    rates = r.select("label", F.when(F.col("label") != 2, F.floor(F.col("n") * 100 / F.col("d")) / F.lit(100.0)).alias("rate"))
+    return evaluation.recall_fractions(rates, r.filter("label <> 1").select("label", F.col("d").alias("support")))
+
+
+def _as_arrays(spans: DataFrame, name: str) -> DataFrame:
+    x = F.struct(F.col("s").cast("int").alias("start"), F.col("e").cast("int").alias("end"), F.col("label").cast("string").alias("label"))
+    return spans.groupBy("doc_id").agg(F.collect_list(x).alias(name))
+
+
+@query(_ranges_sql("gold", "pred"))
+def showcase_leaks(spark, sf_dir):
+    """SNK8, SET2: leaked ranges as folds on a document's arrays."""
+    gold, pred = fixtures.frames(spark, sf_dir)
+    d = _as_arrays(gold, "gold").join(_as_arrays(pred, "first"), "doc_id", "left").withColumn("first", F.coalesce("first", F.array().cast(fn.SPANS)))
+    leaks = evaluation.showcase(d.withColumn("text", F.lit("")).withColumn("second", F.col("first"))).select("doc_id", F.explode("leaked_spans").alias("x"))
+    return leaks.select("doc_id", F.col("x.start").cast("long").alias("s"), F.col("x.end").cast("long").alias("e"))
+
+
+@query(f"""WITH {RULED}, p AS (SELECT r.*, substr(d.text, 1, r.s) AS head FROM ruled r JOIN documents d USING (doc_id)), c AS (SELECT *, cast((length(head) - length(replace(head, ', ', ''))) // 2 AS bigint) AS n FROM p)
+SELECT c.doc_id, s + n AS s, e + n AS e, v AS value, length(replace(d.text, ', ', ' ; ')) AS n_chars FROM c JOIN documents d USING (doc_id)""")
+def carrier_rewrite(spark, sf_dir):
+    """STR16: a phrase replaced, spans moved along."""
+    d = docs(spark, sf_dir).select("doc_id", "text", rules.found("text", rules.TEXT_RULES).alias("spans"))
+    out = rewrites.carriers_rewritten(d, {", ": " ; "}).select("doc_id", "text", F.explode("spans").alias("x"))
+    return out.select("doc_id", F.col("x.start").cast("long").alias("s"), F.col("x.end").cast("long").alias("e"), fn.span_text("text", "x.start", "x.end").alias("value"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def value_variants(spark, sf_dir):
+    """STR17: probe values cut short, spoken and respaced; tests hold their properties."""
+    p = corpus.probes(docs(spark, sf_dir), 50)
+    return p.select("kind", "n", "value", rewrites.cut_short("value", 5, "n").alias("cut"), rewrites.spoken("value", 6, "n").alias("spoken"), rewrites.respaced("value", 7, "n").alias("respaced"))
+
+
+@query("SELECT unnest(['account', 'phone', 'passport', 'licence', 'card', 'resident']) AS kind, count(*) AS n, 0::BIGINT AS still_valid FROM documents WHERE doc_id < 50")
+def check_audit(spark, sf_dir):
+    """AGG30: no generated value carries a right check digit."""
+    p = corpus.probes(docs(spark, sf_dir), 50)
+    return metrics.run(summaries.CHECK_AUDIT, p, checked=p.select("kind", (~corpus.invalid(F.col("kind"), F.col("value"))).alias("valid")))
+
+
+@query(_mask_sql("'<REDACTED>'"))
+def redactor_output(spark, sf_dir):
+    """UDF1: the caller's interface, kinds hidden."""
+    out = Redactor("redacted", rules.TEXT_RULES).transform(docs(spark, sf_dir).select("doc_id", "text"))
+    return _digest(out.select("doc_id", "redacted_text"), F.col("redacted_text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,29 @@ def metrics_json(metrics: DataFrame, path: str, config: dict | None = None) -> d
     return out
 
 
+class Timings:
+    """Seconds by stage: ``lap(name)`` ends a stage; ``write`` puts them in a file with counts, settings and rates."""
+
+    def __enter__(self) -> "Timings":
+        self.began = self.last = time.monotonic()
+        self.seconds: dict[str, float] = {}
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.seconds["overall_wall"] = time.monotonic() - self.began
+
+    def lap(self, name: str) -> None:
+        now = time.monotonic()
+        self.seconds[name] = self.seconds.get(name, 0.0) + now - self.last
+        self.last = now
+
+    def write(self, path: str, counts: dict[str, int], config: dict) -> None:
+        wall = self.seconds["overall_wall"]
+        out = {"counts": counts, "config": config, "timings_seconds": self.seconds, "throughput_per_second": {k: n / wall if wall else None for k, n in counts.items()}}
+        with open(path, "w") as f:
+            json.dump(out, f, indent=2, sort_keys=True)
+
+
 def nested(metrics: dict, key: str):
     """A metric by its dotted key, flat or nested."""
     if key in metrics:
@@ -91,3 +115,14 @@ def side_by_side(cards: list[dict]) -> str:
 
     style = ".k1{background:#fdd}.k2{background:#ddf}.k3{background:#dfd}article{border:1px solid #999;padding:8px;margin:8px;white-space:pre-wrap}"
     return f'<!DOCTYPE html><meta charset="utf-8"><style>{style}</style>' + "".join(f"<article><h3>{html.escape(c['title'])}</h3>{painted(c)}</article>" for c in cards)
+
+
+def rebuilt_pool(base: dict, computed: dict, inherited: tuple[str, ...] = ("romanization", "address", "email_domains")) -> dict:
+    """A pool of names rebuilt: computed keys replace their own, others are inherited in order, and every name must have a Latin form."""
+    if missing := [k for k in inherited if k not in base]:
+        raise ValueError(f"the pool lacks {missing}")
+    for kind, names in (("surname", computed.get("surnames", [])), ("given", computed.get("given", []))):
+        latin = base["romanization"].get(kind) or {}
+        if missing := [n for n in names if n not in latin]:
+            raise ValueError(f"no Latin form of {kind}: {missing}")
+    return {k: computed.get(k, v) for k, v in base.items()} | {k: v for k, v in computed.items() if k not in base}
