@@ -6,6 +6,8 @@ so partitions and retries do not matter and one original has one pseudonym in a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,9 @@ def shaped(kind: str, seed: int, *keys) -> Column:
     if kind == "resident":
         body = F.substring(d, 1, 12)
         d = F.concat(body, F.coalesce(*(F.when(~resident_check(F.concat(body, F.lit(str(i)))), F.lit(str(i))) for i in (0, 1))))
-    out, at = [], 1
-    for c in form:
-        if c == "#":
-            out.append(F.substring(d, at, 1))
-            at += 1
-        else:
-            out.append(F.lit(c))
-    return F.concat(*out)
+    runs = [len(r) for r in re.findall("#+", form)]
+    order = iter(range(1, len(runs) + 1))
+    return F.regexp_replace(d, "^" + "".join(f"(.{{{n}}})" for n in runs) + "$", re.sub("#+", lambda _: f"${next(order)}", form))
 
 
 def weighted(names: list[str], weights: list[float], seed: int, *keys) -> Column:

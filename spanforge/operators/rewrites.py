@@ -29,22 +29,17 @@ def carriers_rewritten(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     for old, new in phrases.items():
         gaps, n, shift = _gaps(F.col("text"), old), len(old), len(new) - len(old)
 
-        def count(a, gap):
-            at = a["at"] + F.length(gap)
-            touched = F.exists("spans", lambda s: (s["start"] < at + n) & (at < s["end"]))  # noqa: B023
-            ends = a["ended"] | F.coalesce(touched, F.lit(False))
-            return F.struct((at + n).alias("at"), ends.alias("ended"), (a["n"] + F.when(ends, 0).otherwise(1)).alias("n"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("ended"), F.lit(0).alias("n"))
-        most = F.aggregate(F.slice("_gaps", 1, F.size("_gaps") - 1), zero, count, lambda a: a["n"])
+        seen = lambda to: F.size(_gaps(F.substring("text", F.lit(1), to), old)) - 1  # noqa: E731, B023
+        # of each span that an occurrence touches: how many end before it
+        touched = F.transform("spans", lambda s: F.when(seen(s["end"] + n - 1) > seen(s["start"]), seen(s["start"])))  # noqa: B023
+        count = F.coalesce(F.array_min(touched), F.size("_gaps") - 1)
         head = F.array_join(F.slice("_gaps", 1, F.col("_n") + 1), new)
         tail = F.slice("_gaps", F.col("_n") + 2, F.size("_gaps"))
         text = F.when(F.size(tail) > 0, F.concat(head, F.lit(old), F.array_join(tail, old))).otherwise(head)
-        before = lambda s: F.least(F.col("_n"), F.size(_gaps(F.substring("text", 1, s["start"]), old)) - 1)  # noqa: E731, B023
-        moved = F.transform("spans", lambda s: F.struct(*((s[k] + before(s) * shift).cast("int").alias(k) for k in ("start", "end")), s["label"].alias("label")))  # noqa: B023
+        moved = F.transform("spans", lambda s: F.struct(*((s[k] + F.least(F.col("_n"), seen(s["start"])) * shift).cast("int").alias(k) for k in ("start", "end")), s["label"].alias("label")))  # noqa: B023
         hit = F.col("_n") > 0
         docs = (
-            docs.withColumn("_gaps", gaps).withColumn("_n", F.when(F.size("_gaps") > 1, most).otherwise(F.lit(0)))
+            docs.withColumn("_gaps", gaps).withColumn("_n", F.when(F.size("_gaps") > 1, count).otherwise(F.lit(0)))
             .withColumn("spans", F.when(hit, moved).otherwise(F.col("spans")).cast(SPANS)).withColumn("text", F.when(hit, text).otherwise(F.col("text"))).drop("_gaps", "_n")
         )
     return docs
