@@ -2,7 +2,10 @@
 
 A record is JSON in any of several layouts. Its nested field paths (sorted, types left out) are
 hashed; the hash selects a declarative mapping that turns the record into canonical turns. Records
-whose fingerprint no mapping knows are returned by ``unmapped``, never dropped silently.
+without turns (no mapping knows the fingerprint, or the record does not parse) are returned by
+``unmapped``, and ``formatted`` marks them by null outputs: none is dropped. Fingerprints are taken of
+records with blank texts, and the records of message rows hold places instead of texts, so a long
+text meets no limit of a JSON parser.
 
 The template marks a turn as ``<|im_start|>role NEWLINE text<|im_end|> NEWLINE``. Inside roles and
 texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no control string can occur there;
@@ -22,38 +25,56 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TURNS = "array<struct<role:string,text:string>>"
+#: Options of from_json: strings of any length.
+_LONG = "map('maxStringLen', '2147483647')"
+
+
+def _field(name: str) -> str:
+    return f"from_json(raw, '{name} string', {_LONG}).{name}"
+
+
 #: name: an example record, and the mapping from the parsed record ``v`` to turns.
 LAYOUTS: dict[str, tuple[str, str]] = {
     "messages": (
         '{"messages":[{"role":"a","content":"b"}]}',
-        "transform(from_json(raw, 'messages array<struct<role:string,content:string>>').messages, m -> named_struct('role', m.role, 'text', m.content))",
+        f"transform(from_json(raw, 'messages array<struct<role:string,content:string>>', {_LONG}).messages, m -> named_struct('role', m.role, 'text', m.content))",
     ),
     "sharegpt": (
         '{"conversations":[{"from":"human","value":"b"}]}',
-        "transform(from_json(raw, 'conversations array<struct<from:string,value:string>>').conversations, m -> named_struct('role', CASE m.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.from END, 'text', m.value))",
+        f"transform(from_json(raw, 'conversations array<struct<from:string,value:string>>', {_LONG}).conversations, m -> named_struct('role', CASE m.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.from END, 'text', m.value))",
     ),
     "prompt_completion": (
         '{"prompt":"a","completion":"b"}',
-        "array(named_struct('role', 'user', 'text', get_json_object(raw, '$.prompt')), named_struct('role', 'assistant', 'text', get_json_object(raw, '$.completion')))",
+        f"array(named_struct('role', 'user', 'text', {_field('prompt')}), named_struct('role', 'assistant', 'text', {_field('completion')}))",
     ),
     "system_prompt_completion": (
         '{"system":"s","prompt":"a","completion":"b"}',
-        "array(named_struct('role', 'system', 'text', get_json_object(raw, '$.system')), named_struct('role', 'user', 'text', get_json_object(raw, '$.prompt')), named_struct('role', 'assistant', 'text', get_json_object(raw, '$.completion')))",
+        f"array(named_struct('role', 'system', 'text', {_field('system')}), named_struct('role', 'user', 'text', {_field('prompt')}), named_struct('role', 'assistant', 'text', {_field('completion')}))",
     ),
     "instruction_output": (
         '{"instruction":"a","output":"b"}',
-        "array(named_struct('role', 'user', 'text', get_json_object(raw, '$.instruction')), named_struct('role', 'assistant', 'text', get_json_object(raw, '$.output')))",
+        f"array(named_struct('role', 'user', 'text', {_field('instruction')}), named_struct('role', 'assistant', 'text', {_field('output')}))",
     ),
     "instruction_input_output": (
         '{"instruction":"a","input":"i","output":"b"}',
-        "array(named_struct('role', 'user', 'text', CASE WHEN coalesce(get_json_object(raw, '$.input'), '') = '' THEN get_json_object(raw, '$.instruction') ELSE concat(get_json_object(raw, '$.instruction'), '\\n\\n', get_json_object(raw, '$.input')) END), named_struct('role', 'assistant', 'text', get_json_object(raw, '$.output')))",
+        f"array(named_struct('role', 'user', 'text', CASE WHEN coalesce({_field('input')}, '') = '' THEN {_field('instruction')} ELSE concat({_field('instruction')}, '\\n\\n', {_field('input')}) END), named_struct('role', 'assistant', 'text', {_field('output')}))",
     ),
 }
 
 
+#: What JSON allows in a string, possessive, so that long texts need no stack; and a name with its colon, or a text.
+_INSIDE = r'(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+'
+_NAME_OR_TEXT = rf'"(?:({_INSIDE}"\s*+:)|{_INSIDE}("))'
+
+
+def blanked(raw: Column) -> Column:
+    """The record with empty texts, and one object for each run of equal ones: of the same schema, and short. Strings that are not JSON stay."""
+    return F.regexp_replace(F.regexp_replace(raw, _NAME_OR_TEXT, '"$1$2'), r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
 def field_paths(raw: Column) -> Column:
     """The record's schema without types: fields sorted, arrays by their merged element."""
-    schema = F.schema_of_variant(F.try_parse_json(raw))
+    schema = F.schema_of_variant(F.try_parse_json(blanked(raw)))
     return F.regexp_replace(schema, r": (STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|FLOAT|DATE|TIMESTAMP\w*|BINARY|UUID|VARIANT)", "")
 
 
@@ -62,34 +83,42 @@ def fingerprint(raw: Column) -> Column:
 
 
 def canonical(records: DataFrame) -> DataFrame:
-    """(conv_id, layout, turns) of records (conv_id, raw). ``layout`` is null where no mapping fits."""
+    """(conv_id, layout, turns) of records (conv_id, raw). ``layout`` is null where no mapping fits, ``turns`` also where the record does not parse.
+
+    With a column ``_rows`` (role, content), the records' texts and the roles of a messages record are places in it.
+    """
     spark = records.sparkSession
     known = spark.createDataFrame([(n, x) for n, (x, _) in LAYOUTS.items()], "layout string, example string").select("layout", fingerprint(F.col("example")).alias("_print"))
     marked = records.withColumn("_print", fingerprint(F.col("raw"))).join(F.broadcast(known), "_print", "left")  # as many rows as LAYOUTS
     turns = reduce(lambda c, n: c.when(F.col("layout") == n, F.expr(LAYOUTS[n][1]).cast(_TURNS)), LAYOUTS, F.when(F.lit(False), F.lit(None).cast(_TURNS)))
-    return marked.select("conv_id", "layout", turns.alias("turns"))
+    if "_rows" not in records.columns:
+        return marked.select("conv_id", "layout", turns.alias("turns"))
+    role = "CASE layout WHEN 'messages' THEN _rows[cast(t.role AS int)].role ELSE t.role END"
+    return marked.withColumn("turns", turns).select("conv_id", "layout", F.expr(f"transform(turns, t -> named_struct('role', {role}, 'text', _rows[cast(t.text AS int)].content))").alias("turns"))
 
 
 def unmapped(records: DataFrame) -> DataFrame:
-    """(conv_id, paths) of the records that no mapping knows."""
-    return canonical(records).filter("layout IS NULL").join(records.select("conv_id", field_paths(F.col("raw")).alias("paths")), "conv_id")
+    """(conv_id, paths) of the records without turns. ``paths`` is null where the record does not parse."""
+    named = records.withColumn("conv_id", F.struct("conv_id", field_paths(F.col("raw")).alias("paths")))
+    return canonical(named).filter("turns IS NULL").select("conv_id.conv_id", "conv_id.paths")
 
 
 def records_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, raw): message rows (conv_id, turn, role, text) as records, in the layout that suits each.
+    """(conv_id, raw, _rows): message rows (conv_id, turn, role, text) as records, in the layout that suits each.
 
     Two turns of a user and an assistant become a prompt record, three with a system turn first
-    a system record; all else, a messages record.
+    a system record; all else, a messages record. Texts (and roles of messages) are places in ``_rows``.
     """
     clean = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
     turns = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("has"), "turn", "role", "content"))).alias("m"))
     roles = F.expr("array_join(transform(m, x -> x.role), '\\n')")
     return turns.select(
         "conv_id",
-        F.when(roles == "user\nassistant", F.expr("to_json(named_struct('prompt', m[0].content, 'completion', m[1].content))"))
-        .when(roles == "system\nuser\nassistant", F.expr("to_json(named_struct('system', m[0].content, 'prompt', m[1].content, 'completion', m[2].content))"))
-        .otherwise(F.expr("to_json(named_struct('messages', transform(m, x -> named_struct('role', x.role, 'content', x.content))))"))
+        F.when(roles == "user\nassistant", F.expr("to_json(named_struct('prompt', '0', 'completion', '1'))"))
+        .when(roles == "system\nuser\nassistant", F.expr("to_json(named_struct('system', '0', 'prompt', '1', 'completion', '2'))"))
+        .otherwise(F.expr("to_json(named_struct('messages', transform(m, (x, i) -> named_struct('role', string(i), 'content', string(i)))))"))
         .alias("raw"),
+        F.col("m").alias("_rows"),
     )
 
 
@@ -105,9 +134,9 @@ def _unescape(x: str) -> str:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss) of canonical turns; ``loss`` are half-open code point spans of the output."""
+    """(conv_id, formatted, loss) of canonical turns; ``loss`` are half-open code point spans of the output. Both are null where ``turns`` is."""
     start, end = f"'{START}'", "concat('<|im_end|>', chr(10))"
-    parts = turns.filter("turns IS NOT NULL").withColumn(
+    parts = turns.withColumn(
         "p",
         F.expr(
             rf"transform(turns, t -> named_struct('head', concat({start}, replace({_escape('coalesce(t.role, ' + chr(39) * 2 + ')')}, chr(10), r'\n'), chr(10)), "

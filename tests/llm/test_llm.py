@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -288,6 +289,23 @@ def test_chat(spark):
     assert [r.layout for r in out] == ["instruction_input_output", "sharegpt", None] and out[1].turns[0].role == "user"
 
 
+def test_chat_keeps_long_and_broken_records(spark):
+    """A text over the 20,000,000 characters of a JSON parser's string, and records that do not parse."""
+    n = 21_000_000
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "x"), (2, 0, "assistant", "x"), (2, 1, "tool", "z")], "conv_id long, turn long, role string, text string")
+    long = rows.withColumn("text", F.when(F.col("text") == "x", F.repeat("text", F.lit(n))).otherwise(F.col("text")))
+    got = {r.conv_id: r for r in chat.digests(long).collect()}
+    assert {c: (r.n_turns, r.loss_chars) for c, r in got.items()} == {1: (2, n), 2: (2, n)}
+    assert {r.loss_sha256 for r in got.values()} == {hashlib.sha256(b"x" * n).hexdigest()}
+    good = json.dumps({"messages": [{"role": "user", "content": "say \"a\": \\ é"}, {"role": "assistant", "content": "L"}, {"role": "user", "content": "thanks"}]})
+    raw = [good, json.dumps({"prompt": "L", "completion": "c"}), '{"what":1}', '{"prompt":"a\\x","completion":"b"}', "no json", None]
+    records = spark.createDataFrame(list(enumerate(raw)), "conv_id long, raw string").withColumn("raw", F.replace("raw", F.lit("L"), F.repeat(F.lit("y"), F.lit(n))))
+    canon = chat.canonical(records).select("conv_id", "layout", F.expr("transform(turns, t -> if(length(t.text) < 99, t.text, string(length(t.text))))").alias("texts"))
+    assert {r.conv_id: (r.layout, r.texts) for r in canon.collect()} == {0: ("messages", ['say "a": \\ é', str(n), "thanks"]), 1: ("prompt_completion", [str(n), "c"]), **{i: (None, None) for i in (2, 3, 4, 5)}}
+    assert {r.conv_id: r.n for r in chat.formatted(chat.canonical(records)).selectExpr("conv_id", "formatted IS NULL AS n").collect()} == {i: i > 1 for i in range(6)}
+    assert {r.conv_id: r.paths for r in chat.unmapped(records).collect()} == {2: "OBJECT<what>", 3: None, 4: None, 5: None}
+
+
 def test_queries_with_sql(spark):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
