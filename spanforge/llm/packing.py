@@ -29,7 +29,7 @@ from spanforge.llm.common import WordIds, default_tokenizer, slices, text_or_emp
 CAPACITY = 2048
 END_ID = 0
 #: Nodes of the search, and fillings tried at each.
-MAX_NODES, WIDTH = 3_000, 3
+MAX_NODES, WIDTH = 20_000, 3
 #: Pieces ranked together.
 BLOCK_ROWS = 200_000
 
@@ -68,15 +68,14 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Patterns:
     return [(lens, n) for g in groups.values() for lens, n in g]
 
 
-def dominated(filling: tuple[int, ...], waste: int, counts: dict[int, int]) -> bool:
-    """Whether one unused length could stand for one, two or three of the filling's and still fit."""
+def dominated(filling: tuple[int, ...], waste: int, counts: dict[int, int], here: int) -> bool:
+    """Whether one unused length could stand for one, two or three of the filling's and still fit. ``here`` has a bit for each length there is."""
     some = filling[:12]
-    sums = {(s,): s for s in some} | {(i, j): some[i] + some[j] for i in range(len(some)) for j in range(i)}
-    for which, s in sums.items():
-        for x in range(s if len(which) > 1 else s + 1, s + waste + 1):
-            if counts.get(x, 0) > filling.count(x):
-                return True
-    return False
+    for x in set(filling):
+        if counts[x] == filling.count(x):
+            here &= ~(1 << x)
+    wide = (1 << (waste + 1)) - 1
+    return any(here >> (s + 1) & wide >> 1 for s in set(some)) or any(here >> (some[i] + some[j]) & wide for i in range(len(some)) for j in range(i))
 
 
 def fillings(room: int, counts: dict[int, int], width: int) -> list[tuple[int, ...]]:
@@ -97,6 +96,9 @@ def fillings(room: int, counts: dict[int, int], width: int) -> list[tuple[int, .
         return found
     mask, reach = (1 << (room + 1)) - 1, [1]
     for x in lens:
+        if reach[-1] >> x == mask >> x:  # every sum from here on: no larger length adds one
+            reach += [reach[-1]] * (len(lens) + 1 - len(reach))
+            break
         bits, n, k = reach[-1], min(counts[x], room // x), 1
         while n:
             k = min(k, n)
@@ -104,24 +106,28 @@ def fillings(room: int, counts: dict[int, int], width: int) -> list[tuple[int, .
             n, k = n - k, k * 2
         reach.append(bits)
     top = reach[-1].bit_length() - 1
+    digits = bytearray(b"0") * (lens[-1] + 1)
+    for x in lens:
+        digits[-1 - x] = 49
+    here = int(digits, 2)
     spare = None
     for s in range(top, -1, -1):
         if len(found) == width or s < top - 64:
             break
         if not reach[-1] >> s & 1:
             continue
-        left, out = s, []
-        for i in range(len(lens), 0, -1):
+        left, out, i = s, [], len(lens)
+        while left:
+            i = bisect_right(lens, left, 0, i)
             k = min(counts[lens[i - 1]], left // lens[i - 1])
             while not (left >= k * lens[i - 1] and reach[i - 1] >> (left - k * lens[i - 1]) & 1):
                 k -= 1
             out += [lens[i - 1]] * k
             left -= k * lens[i - 1]
-            if not left:
-                break
+            i -= 1
         filling = tuple(out)
         spare = spare or filling
-        if not dominated(filling, room - s, counts):
+        if not dominated(filling, room - s, counts, here):
             found.append(filling)
     return found or [spare or ()]
 

@@ -98,6 +98,14 @@ def test_bin_completion_is_best_on_small_cases():
         assert sum(n for _, n in got) == best(lens, 20)
 
 
+def test_bin_completion_searches_on():
+    """A histogram whose bound needs over 3,000 nodes."""
+    n = Counter([129, 132, 140, 155, 159, 168, 170, 171, 179, 187, 194, 196, 235, 240, 242, 243, 243, 252, 256, 261, 268, 282, 283, 294, 296, 311, 319, 332, 341, 347, 358, 363, 379, 381, 383, 390, 393, 403, 406, 407, 411, 413, 419, 422, 431, 436, 437, 437, 444, 453, 456, 460, 461, 462, 463, 467, 468, 470, 472, 482])
+    got = packing.bin_completion(n, 1000)
+    assert sum(k for _, k in got) == packing.lower_bound(n, 1000) == 20
+    assert sum((Counter({x: c * k for x, c in Counter(p).items()}) for p, k in got), Counter()) == n and all(sum(p) <= 1000 for p, _ in got)
+
+
 def test_html():
     r = html_text.render
     assert r("<p>a<p>b  c<br>d<div style='display: none'>x</div><script>1</script><!-- y -->") == "a\n\nb c\nd"
