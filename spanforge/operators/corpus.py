@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import SPANS, luhn, resident_check, span_text
+from spanforge.operators import rewrites
 
 #: Digits of each kind; ``#`` stands for a digit.
 FORMATS = {"account": "###-##-######", "phone": "010-####-####", "passport": "M########", "licence": "##-##-######-##", "card": "####-####-####-####", "resident": "######-#######"}
@@ -104,16 +105,32 @@ def invalid(kind: Column, value: Column) -> Column:
     return F.when(kind == "card", ~luhn(value)).when(kind == "resident", ~resident_check(value)).otherwise(F.lit(True))
 
 
-def probes(docs: DataFrame, per_kind: int, seed: int = 11, tries: int = 3) -> DataFrame:
-    """(kind, n, text, start, end, value): templates with the first hash candidate whose check digit is wrong."""
-    rows = docs.select(F.col("doc_id").alias("n")).filter(F.col("n") < per_kind).distinct().withColumn("kind", F.explode(F.array(*(F.lit(k) for k in FORMATS))))
-
-    def candidate(i: int) -> Column:
-        out = F.lit(None).cast("string")
-        for k in FORMATS:
-            out = F.when(F.col("kind") == k, shaped(k, seed + i, F.col("n"))).otherwise(out)
-        return out
-
-    value = F.coalesce(*(F.when(invalid(F.col("kind"), candidate(i)), candidate(i)) for i in range(tries)))
+def surfaces(value: Column, *keys) -> dict[str, Column]:
+    """A probe value as it is uttered: cut short, spoken, respaced."""
+    return {"cut": rewrites.cut_short(value, 5, *keys, value), "spoken": rewrites.spoken(value, 6, *keys, value), "respaced": rewrites.respaced(value, 7, *keys, value)}
+
+
+def probes(docs: DataFrame, per_kind: int, seed: int = 11, tries: int = 32) -> DataFrame:
+    """(kind, n, text, start, end, value): templates with the first hash candidate whose value and surfaces all have a wrong check digit.
+
+    The documents of a kind's ``per_kind`` probes are drawn by hash among all; if they are fewer, in turn. ``n``
+    counts a kind's probes from 0. As in the reference, a cut leaves four digits at least, and a probe without
+    a candidate is an error. No documents give no rows.
+    """
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    bank = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(per_kind).agg(F.array_sort(F.collect_list(F.struct(order.alias("h"), "doc_id"))).alias("bank"))
+    slots = bank.filter(F.size("bank") > 0).select("bank", F.explode(F.sequence(F.lit(0), F.lit(per_kind - 1))).alias("i"))
+    rows = slots.select(F.col("i").cast("long").alias("n"), F.get("bank", F.col("i") % F.size("bank"))["doc_id"].alias("doc_id"))
+    rows = rows.withColumn("kind", F.explode(F.array(*(F.lit(k) for k in FORMATS)))).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    value = F.lit(None).cast("string")
+    for k in FORMATS:
+        value = F.when(F.col("kind") == k, shaped(k, seed, F.col("doc_id"), F.col("n"), F.col("try"))).otherwise(value)
+    drawn = rows.select("kind", "n", "try", value.alias("value"))
+    said = surfaces(F.col("value"), "n")
+    fits = F.length(F.regexp_replace(said["cut"], "[^0-9]", "")) >= 4
+    for v in (F.col("value"), *said.values()):
+        fits &= invalid(F.col("kind"), v)
+    first = drawn.groupBy("kind", "n").agg(F.min_by("value", F.when(fits, F.col("try"))).alias("value"))
+    value = F.coalesce("value", F.raise_error(F.concat(F.lit("no valid probe of "), "kind")).cast("string"))
     head = F.concat(F.lit("value of "), F.col("kind"), F.lit(" is "))
-    return rows.withColumn("value", value).select("kind", "n", F.concat(head, "value", F.lit(".")).alias("text"), F.length(head).alias("start"), (F.length(head) + F.length("value")).alias("end"), "value")
+    return first.withColumn("value", value).select("kind", "n", F.concat(head, "value", F.lit(".")).alias("text"), F.length(head).alias("start"), (F.length(head) + F.length("value")).alias("end"), "value")

@@ -192,3 +192,18 @@ def test_nothing_meets(spark):
     pred = spark.createDataFrame([(1, 1, 3, 7, 1), (1, 2, 6, 9, 1), (1, 3, 40, 44, 1), (3, 1, 2, 5, 1)], "doc_id long, pi long, s long, e long, label long")
     assert {(r.doc_id, r.gi): r.covered for r in matching.coverage(gold, pred).collect()} == {(1, 1): 2, (1, 2): 0, (2, 1): 0}
     assert {(r.doc_id, r.pi): r.over_chars for r in matching.overmask(gold, pred).collect()} == {(1, 1): 2, (1, 2): 2, (1, 3): 4, (3, 1): 3}
+
+
+def test_probes_meet_their_quota(spark):
+    """Ids from 50 on, with gaps and nulls, and fewer documents than probes; surfaces carry no right check digit either."""
+    for ids in ([50, 77, None, 77, 10**12], range(1000, 1400)):
+        got = corpus.probes(spark.createDataFrame([(i,) for i in ids], "doc_id long"), 50)
+        rows = got.select("kind", "n", "value", *(c.alias(k) for k, c in corpus.surfaces(F.col("value"), "n").items())).collect()
+        assert sorted((r.kind, r.n) for r in rows) == sorted((k, n) for k in corpus.FORMATS for n in range(50))
+        assert len({r.value for r in rows}) == len(rows)
+        for r in rows:
+            assert sum(c.isdigit() for c in r.cut) >= 4
+            for v in r[2:] if r.kind == "card" else ():
+                d = [int(c) for c in reversed(v) if c.isdigit()]
+                assert sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10
+    assert corpus.probes(spark.createDataFrame([], "doc_id long"), 50).count() == 0
