@@ -236,10 +236,18 @@ class Field:
         return out[::-1]
 
 
-#: Words of letters only, perhaps capitalized, with an end mark: only their length tells.
+#: Words of letters only, perhaps capitalized, with an end mark.
 _PLAIN = r"^[A-Z]?[^\x00-\x60\x7b-\x7f]*[.,]?$"
 
 
+def _ranges(holds) -> str:
+    """The characters from U+0080 on of which something holds, as the inside of a character class."""
+    places = [i for i in range(0x80, 0x20000) if holds(chr(i))]  # no digit and no case beyond
+    starts = [i for i, before in zip(places, [0, *places]) if i != before + 1]
+    ends = [i for i, after in zip(places, [*places[1:], 0]) if after != i + 1]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
 class Scanner:
     """Finds the spans of whole texts, a batch at a time."""
 
@@ -251,6 +259,9 @@ class Scanner:
         self.field, self.cache = field, Cache(lambda keys: list(map(field.vectors, keys)), most=200_000)
         self.gap = 2 * max(float(m.max() - m.min()) for m in (np.concatenate([field.move.ravel(), field.start, field.end]),)) + 1e-3
         self.doc = field.doc.astype("float32")
+        self.digit, self.lower = f"[0-9{_ranges(str.isdigit)}]", f"[a-z{_ranges(str.islower)}]"
+        # letters that a keyword's pattern takes for i and s, and what is not told by length and vowels
+        self.special = f"[\u0131\u017f{_ranges(lambda c: c.isdigit() or c.isupper())}]"
 
     def tags(self, texts):
         """By row with a secret token: {row: [(place of the word, tag)]}, and whether each row can have base spans."""
@@ -261,10 +272,10 @@ class Scanner:
         lengths = pc.utf8_length(distinct).to_numpy()
         bare = pc.ascii_lower(pc.utf8_rtrim(distinct, ".,"))
         keyword = pc.match_substring_regex(bare, "pass(word|wd|phrase)|pwd|secret|token|api.?key|bearer|auth|credential|private|access.?key").to_numpy(zero_copy_only=False)
-        odd = ~pc.match_substring_regex(distinct, _PLAIN).to_numpy(zero_copy_only=False) | keyword
-        digit = pc.match_substring_regex(distinct, "[0-9]").to_numpy(zero_copy_only=False)
+        odd = ~pc.match_substring_regex(distinct, _PLAIN).to_numpy(zero_copy_only=False) | keyword | (lengths >= 12) | pc.match_substring_regex(distinct, self.special).to_numpy(zero_copy_only=False)
+        digit = pc.match_substring_regex(distinct, self.digit).to_numpy(zero_copy_only=False)
         hint = pc.match_substring_regex(distinct, _HINT).to_numpy(zero_copy_only=False)
-        # plain words: one stand-in for each length class and spelling of vowels would differ little; they are scored as lower-case words
+        # plain words: those alike in length class, capital, case and vowel share have the same features; words that may have others go to features()
         table = np.zeros((len(distinct), 9), "float32")
         plain = np.flatnonzero(~odd)
         if len(plain):
@@ -293,8 +304,7 @@ class Scanner:
                 found.setdefault(d, []).extend((s + i - int(at[d]), g) for i, g in enumerate(tags) if g)
         return {d: x for d, x in found.items() if x}, has(hint) > 0
 
-    @staticmethod
-    def plain_keys(words, lengths):
+    def plain_keys(self, words, lengths):
         """Length class, capital and end mark and vowel share of plain words, as one number."""
         import numpy as np
         import pyarrow.compute as pc
@@ -304,10 +314,9 @@ class Scanner:
         n = np.maximum(lengths - marked, 0)
         vowels = pc.count_substring_regex(words, "[aeiouAEIOU]").to_numpy()
         share = vowels / np.maximum(n, 1)
-        lower = pc.match_substring_regex(words, r"[a-z]|[^\x00-\x7f]").to_numpy(zero_copy_only=False)
-        distinct = n >= 12
+        lower = pc.match_substring_regex(words, self.lower).to_numpy(zero_copy_only=False)
         klass = sum((n >= x).astype(int) for x in _LENGTHS)
-        return klass * 16 + upper * 8 + ((share > 0.25) & (share < 0.6) & (n > 0)) * 4 + lower * 2 + distinct
+        return klass * 16 + upper * 8 + ((share > 0.25) & (share < 0.6) & (n > 0)) * 4 + lower * 2
 
     def plain_vector(self, key: int):
         import numpy as np

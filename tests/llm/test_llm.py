@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -168,6 +169,24 @@ def test_crf_on_held_out_rows():
     assert tp / (tp + fp) > 0.9 and tp / (tp + fn) > 0.9
 
 
+def test_scanner_decodes_exactly():
+    """Tags of whole texts against features and Viterbi of every token: long words, capitals and digits beyond ASCII, scripts without case."""
+    field = secrets.Field.trained()
+    r = random.Random(5)
+    words = ["the", "Then.", "password:", "token", "ſecret", "credentıal", "Élan", "ÉÀÜ", "é", "１２３４５６", "x²", "한국어", "中文。", "über,", "a1b2c3d4e5f6g7h8", ".", "A"]
+    texts = []
+    for _ in range(400):
+        long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzñö") for _ in range(r.randint(12, 45))) + r.choice(["", "."]) for _ in range(3)]
+        texts.append(" ".join(r.choice(words + long * 3) for _ in range(r.randint(1, 12))))
+    got = secrets.Scanner(field).tags(pa.array(texts))[0]
+    for d, text in enumerate(texts):
+        tokens = text.split(" ")
+        f = [secrets.features(t) for t in tokens]
+        bucket = int(secrets.doc_bucket(np.array(sum(any(c.isdigit() for c in w) for w in tokens)), np.array(len(tokens))))
+        e = [field.own[f[i]].sum(0) + field.doc[bucket] + (field.before[f[i - 1]].sum(0) if i else 0) + (field.after[f[i + 1]].sum(0) if i + 1 < len(f) else 0) for i in range(len(f))]
+        assert got.get(d, []) == [(i, g) for i, g in enumerate(field.viterbi(e, True, True)) if g], text
+
+
 def test_sharding(odd, docs, spark):
     for d in (odd, docs, frame(spark, [])):
         rows = sharding.assign(d).collect()
