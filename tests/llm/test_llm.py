@@ -116,6 +116,15 @@ def test_html():
     assert r("") == "" and r("<" * 50) and r("<div>" * 5000 + "x") == "x"
 
 
+def test_html_keeps_blocks_of_cells_visible_children_and_stray_quotes():
+    r = html_text.render
+    assert r("<table><tr><td><p>a<p>bcd<td>x<br>y<tr><td>e<td><ul><li>f<li>g</ul></table>") == "a    x\n     y\nbcd\ne    - f\n     - g"
+    assert r("<table><tr><td><table><tr><td>a<td>b<tr><td>c<td>d</table><td><pre>1\n 2</pre></table>") == "a  b  1\nc  d   2"
+    assert r("<div style='visibility:hidden'>a<b style='visibility: visible'>b<i>c</i></b>d<br></div>e") == "bc\ne"
+    assert r("<a title=don't>Hello</a> isn't <b>it</b>") == "Hello isn't it"
+    assert r("<a title = \"x>y\" b='>'>z</a><a c=d=\"e>f") == "zf" and r("<a" + " b='1'" * 2000) == "<a" + " b='1'" * 2000
+
+
 def test_html_keeps_visible_words(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {x.page_id: x.text for x in html_text.extract(pages).collect()}
