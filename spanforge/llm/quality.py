@@ -32,58 +32,105 @@ SEPARATORS, SYMBOLS = "|»›•·", "#*$%&|<>"
 #: A boilerplate line has at most so many words; a line needs a sentence end among so many.
 SHORT_LINE, SENTENCE_WORDS, PLAIN_LINE = 40, 50, 8
 
-_BLANKS = r" \t\n\u000b\u000c\r"
+#: What ``BOILERPLATE`` says, asked only where a word begins with a letter that one of its phrases begins with.
+_BOILERPLATE = BOILERPLATE.replace(r"\b(", r"\b(?=[aceln-pr-t])(", 1)
+_END = SENTENCE_END.replace('"', r"\x22")
 
 
-def _lines(passed: str) -> str:
-    return rf"""filter(split(_q_text, '\n', -1), l -> {passed})"""
+def _less(text: str, gone: str) -> str:
+    """Bytes of ``text`` that removing ``gone`` everywhere takes away."""
+    return f"(octet_length({text}) - octet_length(replace({text}, {gone}, '')))"
 
 
-#: Whether line ``l`` stays.
-LINE_STAYS = rf"""
-  regexp_count(l, r'{WORD}') = 0 OR NOT (
-    (regexp_count(l, r'{WORD}') <= {SHORT_LINE} AND lower(l) RLIKE r'{BOILERPLATE}')
-    OR (length(l) - length(translate(l, '{SEPARATORS}', '')) >= 3
-        AND 5 * (length(l) - length(translate(l, '{SEPARATORS}', ''))) >= regexp_count(l, r'{WORD}'))
-    OR 10 * (length(l) - length(translate(l, '{SYMBOLS}', ''))) > length(l)
-    OR (regexp_count(l, r'{WORD}') >= {PLAIN_LINE}
-        AND {SENTENCE_WORDS} * regexp_count(l, r"{SENTENCE_END.replace('"', chr(92) + 'x22')}") < regexp_count(l, r'{WORD}')))
-"""
+def _separators(text: str) -> str:
+    """How many separators ``text`` has: one pass for each, faster than a class that reaches beyond ASCII."""
+    return "(" + " + ".join(f"{_less(text, repr(c))} div {len(c.encode())}" for c in SEPARATORS) + ")"
+
+
+#: Of line ``l``, read as ``n`` where every blank is a space: blanks.
+_LINES = f"""zip_with(split(_q_text, '\\n', -1), split(_q_norm, '\\n', -1), (l, n) -> named_struct('l', l, 'n', n, 'blanks', {_less('n', "' '")}))"""
+#: Words of a line; lines without two spaces in a row need no split.
+_COUNTED = """transform(_q_lines, s -> named_struct('l', s.l, 'n', s.n, 'chars', length(s.n) - s.blanks, 'words',
+    CASE WHEN s.n = '' THEN 0
+         WHEN contains(s.n, '  ') THEN size(array_remove(split(s.n, ' ', -1), ''))
+         ELSE s.blanks + 1 - int(startswith(s.n, ' ')) - int(endswith(s.n, ' ')) END))"""
+#: Whether a line stays. A text without separators or symbols has no line with them, and each full
+#: stop before a blank is a sentence end of its own: where those are enough, no pattern is run.
+_STAYS = rf"""transform(array(named_struct('separators', _q_n_separators, 'symbols', _q_n_symbols)), z -> transform(_q_counted, s -> named_struct('l', s.l, 'chars', s.chars, 'words', s.words, 'stays',
+    s.words = 0 OR NOT (
+      (z.separators >= 3 AND {_separators('s.l')} >= greatest(3, s.words / 5))
+      OR (z.symbols > 0 AND 10 * length(regexp_replace(s.l, r'[^{SYMBOLS}]+', '')) > length(s.l))
+      OR (s.words >= {PLAIN_LINE} AND {SENTENCE_WORDS} * ({_less('s.n', "'. '")} div 2) < s.words
+          AND {SENTENCE_WORDS} * regexp_count(s.l, r"{_END}") < s.words)
+      OR (s.words <= {SHORT_LINE} AND lower(s.l) RLIKE r'{_BOILERPLATE}')))))[0]"""
+
+
+def _steps(array: str, by: int) -> str:
+    """Hashes of each element with the one ``by`` behind it."""
+    return f"zip_with(slice({array}, 1, greatest(size({array}) - {by}, 0)), slice({array}, {by + 1}, greatest(size({array}) - {by}, 0)), (a, b) -> xxhash64(a, b))"
 
-#: Words covered by windows that occur twice or more, from the window hashes ``_q_hashes``: sorted
-#: with their places, equal neighbours stay, and the union of their windows is measured.
+
+#: Words covered by windows that occur twice or more, from hashes of their halves: only where a half
+#: occurs twice are windows hashed, and only where a window does are they sorted with their places,
+#: so that equal neighbours stay and the union of their windows is measured.
 REPEATED = f"""
-CASE WHEN size(array_distinct(_q_hashes)) = size(_q_hashes) THEN 0L ELSE
-  transform(array(array_sort(transform(_q_hashes, (h, i) -> named_struct('h', h, 'i', i)))), s ->
-    aggregate(
-      array_sort(transform(filter(s, (x, k) -> (k > 0 AND s[greatest(k - 1, 0)].h = x.h) OR (k + 1 < size(s) AND s[least(k + 1, size(s) - 1)].h = x.h)), x -> x.i)),
-      named_struct('n', 0L, 'end', 0L),
-      (a, p) -> named_struct('n', a.n + p + {WINDOW} - greatest(a.end, cast(p AS bigint)), 'end', cast(p AS bigint) + {WINDOW}),
-      a -> a.n))[0]
+CASE WHEN size(_q_halves) <= {WINDOW // 2} OR size(array_distinct(_q_halves)) = size(_q_halves) THEN 0L ELSE
+  transform(array({_steps('_q_halves', WINDOW // 2)}), w -> CASE WHEN size(array_distinct(w)) = size(w) THEN 0L ELSE
+    transform(array(sort_array(transform(w, (h, i) -> named_struct('h', h, 'i', i)))), s ->
+      aggregate(
+        sort_array(transform(filter(s, (x, k) -> (k > 0 AND s[greatest(k - 1, 0)].h = x.h) OR (k + 1 < size(s) AND s[least(k + 1, size(s) - 1)].h = x.h)), x -> x.i)),
+        named_struct('n', 0L, 'end', 0L),
+        (a, p) -> named_struct('n', a.n + p + {WINDOW} - greatest(a.end, cast(p AS bigint)), 'end', cast(p AS bigint) + {WINDOW}),
+        a -> a.n))[0] END)[0]
 END"""
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_q_n_words``, ``_q_word_chars``, ``_q_n_symbols``, ``_q_n_dup_lines``, ``_q_n_repeat_words``, ``_q_base_failed``, ``_q_cleaned``, ``_q_kept``."""
-    hashes = "xxhash64(" + ", ".join(f"_q_words[i + {k}]" if k else "_q_words[i]" for k in range(WINDOW)) + ")"
-    spaceless = lambda x: f"length(translate({x}, '{_BLANKS}', ''))"
+    """``docs`` with ``_q_n_words``, ``_q_word_chars``, ``_q_n_symbols``, ``_q_n_dup_lines``, ``_q_n_repeat_words``, ``_q_base_failed``, ``_q_cleaned``, ``_q_kept``.
+
+    Every blank becomes a space first, so that words are split and counted at one character. No
+    lambda reads a computed column but as its array: the optimizer may move the column's expression
+    into the lambda, where it would be evaluated for every element.
+    """
+    blanks = "_q_text"
+    for c in (9, 11, 12, 13):
+        blanks = f"replace({blanks}, chr({c}), ' ')"
     return (
         docs.withColumn("_q_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-        .withColumn("_q_words", F.expr(f"array_remove(split(_q_text, r'{SPACES}', -1), '')"))
-        .withColumn("_q_hashes", F.expr(f"CASE WHEN size(_q_words) < {WINDOW} THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, greatest(size(_q_words) - {WINDOW}, 0)), i -> {hashes}) END"))
-        .withColumn("_q_full_lines", F.expr(_lines(f"l RLIKE r'{WORD}'")))
-        .withColumn("_q_cleaned", F.expr(f"array_join({_lines(LINE_STAYS)}, '\\n')"))
+        .withColumn("_q_norm", F.expr(blanks))
+        .withColumns(
+            {
+                "_q_pieces": F.expr("split(replace(_q_norm, chr(10), ' '), ' ', -1)"),  # one more than blanks
+                "_q_lines": F.expr(_LINES),
+            }
+        )
+        .withColumns(
+            {
+                "_q_words": F.expr("array_remove(_q_pieces, '')"),
+                "_q_n_symbols": F.expr(f"cast(length(regexp_replace(_q_text, r'[^{SYMBOLS}]+', '')) AS bigint)"),
+                "_q_n_separators": F.expr(_separators("_q_text")),
+                "_q_word_chars": F.expr("cast(length(_q_text) - size(_q_pieces) + 1 AS bigint)"),
+                "_q_counted": F.expr(_COUNTED),
+            }
+        )
+        .withColumns({"_q_pairs": F.expr(_steps("_q_words", 1)), "_q_judged": F.expr(_STAYS), "_q_n_words": F.expr("cast(size(_q_words) AS bigint)")})
+        .withColumns(
+            {
+                "_q_halves": F.expr(_steps("_q_pairs", 2)),
+                "_q_full_lines": F.expr("transform(filter(_q_judged, s -> s.words > 0), s -> s.l)"),
+                "_q_stay": F.expr("filter(_q_judged, s -> s.stays)"),
+            }
+        )
         .withColumns(
             {
-                "_q_n_words": F.expr("cast(size(_q_words) AS bigint)"),
-                "_q_word_chars": F.expr(f"cast({spaceless('_q_text')} AS bigint)"),
-                "_q_n_symbols": F.expr(f"cast(length(_q_text) - length(translate(_q_text, '{SYMBOLS}', '')) AS bigint)"),
+                "_q_cleaned": F.expr("array_join(transform(_q_stay, s -> s.l), '\\n')"),
+                "_q_left": F.expr("aggregate(_q_stay, 0L, (a, s) -> a + s.chars)"),
                 "_q_n_dup_lines": F.expr("cast(size(_q_full_lines) - size(array_distinct(_q_full_lines)) AS bigint)"),
                 "_q_n_repeat_words": F.expr(REPEATED),
             }
         )
         .withColumn("_q_base_failed", F.expr(f"_q_n_words < {MIN_WORDS} OR 100 * _q_n_repeat_words > {MAX_REPEAT_PERCENT} * _q_n_words"))
-        .withColumn("_q_kept", F.expr(f"NOT _q_base_failed AND 100 * {spaceless('_q_cleaned')} >= {MIN_LEFT_PERCENT} * _q_word_chars"))
+        .withColumn("_q_kept", F.expr(f"NOT _q_base_failed AND 100 * _q_left >= {MIN_LEFT_PERCENT} * _q_word_chars"))
     )
 
 
