@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import uuid
 from array import array
@@ -36,7 +39,19 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterable, text: str = "text", most_bytes: int = 12 << 20) -> Iterator:
+#: Bytes of an Arrow batch on its way to a Python worker, where the session names none: rows may be long.
+BATCH_BYTES = 16 << 20
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, not in rows alone."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterable, text: str = "text", most_bytes: int = 6 << 20) -> Iterator:
     """Arrow batches cut so that each holds about ``most_bytes`` of text; one row is never cut."""
     import numpy as np
     import pyarrow.compute as pc
@@ -84,15 +99,51 @@ def joined(index, sizes, starts, flat):
     return flat[at], ends
 
 
+def _trim() -> None:
+    """Give memory that nothing uses back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def worker(name: str):
+    """Decorator of functions over Arrow batches: a reused Python worker holds the caches of one operator at a time, and each task gives back what it took."""
+
+    def wrap(run):
+        @functools.wraps(run)
+        def task(batches):
+            if Cache.holder != name:
+                for c in Cache.all:
+                    c.clear()
+                gc.collect()
+                _trim()
+                Cache.holder = name
+            yield from run(batches)
+            _trim()
+
+        return task
+
+    return wrap
+
+
 class Cache(dict):
     """A dict filled by ``make`` in bulk, up to ``most`` entries; long keys are never kept.
 
     Full, it keeps what it has (common keys come early) until under a fifth of the keys asked for are there; then it starts anew.
     """
 
-    def __init__(self, make, most: int = 400_000, longest: int = 40):
+    #: All caches of this process, and the operator whose entries they hold.
+    all: list["Cache"] = []
+    holder: str | None = None
+
+    def __init__(self, make, most: int = 200_000, longest: int = 40):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
+        Cache.all.append(self)
 
     def values_of(self, keys: list[str]) -> list:
         """The value of each of these distinct keys."""

@@ -5,8 +5,8 @@ are keyed by all pairs of a left and a right half key, so far fewer minhashes ar
 ``m * m`` separate keys of ``2 * r`` would need. A pair of similarity s misses every table only if it
 misses all left or all right halves: at most ``2 * (1 - s^r)^m`` (1.5e-4 at 0.85 with r=3, m=10).
 
-1. Signatures: one pass over the texts. Equal sets are one class from here on (its smallest id
-   stands for it), so groups of exact copies cost nothing further.
+1. Signatures: one pass over the texts. Equal sets are one class from here on (known by a number of
+   its own, as ids may repeat), so groups of exact copies cost nothing further.
 2. Half keys that only one class has are dropped (counted with partial sums), then tables are keyed.
 3. In every bucket each member is paired with one centre (another one for each left half), which is linear in the bucket.
    The distinct pairs are confirmed on full sets, and linked classes labelled.
@@ -18,8 +18,8 @@ misses all left or all right halves: at most ``2 * (1 - s^r)^m`` (1.5e-4 at 0.85
 
 Words are runs without space and U+0009 to U+000D, A-Z lower-cased. A text with fewer words than a
 shingle has its whole sequence as its only shingle; an empty or null text has none and is linked
-with nothing. Rows that repeat a ``doc_id`` each come back, under the labels of their own texts'
-classes; a null ``doc_id`` has no component and is kept. An empty table gives no rows. Working
+with nothing. Rows that repeat a ``doc_id`` each come back, and each goes by its own text: an id does
+not join the texts that it stands under. A null ``doc_id`` has no component and is kept. An empty table gives no rows. Working
 columns are prefixed where the caller's columns pass through (``dedup``).
 """
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import Cache, slices, word_index, written
+from spanforge.llm.common import Cache, in_batches, slices, text_or_empty, word_index, worker, written
 
 SHINGLE, PERCENT = 3, 85
 R, M = 3, 10
@@ -40,7 +40,7 @@ BINS = 128
 SLACK = 4.0
 #: Ids of candidate documents that are broadcast at most (8 bytes each); more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-_LEFT = "doc_id long, n_shingles long, set_hi long, set_lo long, sig array<int>"
+_LEFT = "doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, sig array<int>"
 
 
 def _hash_words(keys: list[str]) -> list[int]:
@@ -58,7 +58,7 @@ def shingles_of(texts, k: int) -> list:
     import pyarrow.compute as pc
 
     at, index, distinct = word_index(pc.ascii_lower(texts))
-    cache = _WORDS.setdefault("words", Cache(_hash_words, most=200_000))
+    cache = _WORDS.setdefault("words", Cache(_hash_words))
     words = np.array(cache.values_of(distinct.to_pylist()), "uint64")[index] if len(index) else np.zeros(0, "uint64")
     n = len(words)
     mixed = np.zeros(n, "uint64")
@@ -93,20 +93,19 @@ def multipliers(n: int):
 
 
 def signatures(docs: DataFrame, k: int, r: int, m: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hi, set_lo, sig): the set's size and digest, its minhashes (32 bits each) and then the bins (two in 32 bits)."""
+    """(doc_id, text_hash, n_shingles, set_hi, set_lo, sig) of documents without null texts: the set's size and digest, its minhashes (32 bits each) and then the bins (two in 32 bits)."""
 
+    @worker("minhash")
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         a, b = multipliers(2 * r * m)
         n_ints = len(a) + BINS // 2
         bounds = np.arange(1, BINS, dtype="uint64") * np.uint64(2**64 // BINS)
-        for batch in slices(batches, most_bytes=8 << 20):
+        for batch in slices(batches, most_bytes=6 << 20):
             sets = shingles_of(batch.column("text"), k)
             sig = np.zeros((len(sets), n_ints), "uint32")
-            hi, lo = [], []
             full = [i for i, s in enumerate(sets) if len(s)]
             for i in full:
                 x = sets[i]
@@ -118,17 +117,14 @@ def signatures(docs: DataFrame, k: int, r: int, m: int) -> DataFrame:
                 bins = np.zeros(BINS, "uint16")
                 bins[held] = (x[starts[held]] >> np.uint64(20)).astype("uint16") | np.uint16(1)  # 0: none
                 sig[i, len(a) :] = bins.view("uint32")
-            for s in sets:
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                hi.append((d >> 64) - 2**63)
-                lo.append(d % 2**64 - 2**63)
+            hi, lo = zip(*map(digest, sets))
             flat = pa.array(sig.ravel().view("int32"))
             offsets = pa.array((np.arange(len(sets) + 1) * n_ints).astype("int32"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n_shingles", "set_hi", "set_lo", "sig"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "text_hash", "n_shingles", "set_hi", "set_lo", "sig"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, _LEFT)
+    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, _LEFT)
 
 
 def half_keys(reps: DataFrame, r: int, m: int) -> DataFrame:
@@ -148,36 +144,65 @@ def buckets(reps: DataFrame, r: int, m: int) -> DataFrame:
     return keyed.join(many, "key").select("key", "i", "j", "rep", "n", "centre")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of some documents; where an id repeats, its least text. Few ids are broadcast, so that only their texts travel."""
-    ids = written(ids, "wanted_ids")
-    if ids.count() <= MAX_BROADCAST_IDS:
+def digest(x) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    import xxhash
+
+    d = xxhash.xxh3_128_intdigest(x.tobytes())
+    return (d >> 64) - 2**63, d % 2**64 - 2**63
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rep, set) of some classes (rep, doc_id, set_hi, set_lo): sorted shingle hashes of a text of each. Few ids are broadcast, so that only their texts travel."""
+    wanted = written(wanted, "wanted")
+    ids = wanted.select("doc_id").distinct()
+    if wanted.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").groupBy("doc_id").agg(F.min("text").alias("text")), "wanted_texts")
 
+    @worker("minhash")
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            sets = shingles_of(batch.column("text"), k)
+            hi, lo = zip(*map(digest, sets))
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype("int32"))
+            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view("int64")))], names=["set_hi", "set_lo", "set"])
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts travel only for pairs' members."""
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    made = in_batches(docs.join(ids, "doc_id", "left_semi").select("text"), run, "set_hi long, set_lo long, set array<long>")
+    one = made.groupBy("set_hi", "set_lo").agg(F.first("set").alias("set"))  # a repeated id brings other texts too
+    return written(one.join(wanted, ["set_hi", "set_lo"]).select("rep", "set"), "wanted_sets")
 
+
+def sets_in(batch, name: str) -> list:
+    """The sets of an Arrow list column."""
+    import numpy as np
+
+    column = batch.column(name)
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return np.split(column.flatten().to_numpy().view("uint64"), np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough; sets travel only for pairs' members."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = sets_of(docs, reps.join(ends, "rep", "left_semi").select("rep", "doc_id", "set_hi", "set_lo"), k)
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+
+    @worker("minhash")
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for whole in batches:
-            for batch in slices([whole], "text_a", 4 << 20):
-                left, right = shingles_of(batch.column("text_a"), k), shingles_of(batch.column("text_b"), k)
-                ok = []
-                for x, y in zip(left, right):
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        ok.append(False)
-                        continue
-                    n = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(n > 0 and 100 * n >= percent * (len(x) + len(y) - n))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in batches:
+            ok = []
+            for x, y in zip(sets_in(batch, "set_a"), sets_in(batch, "set_b")):
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(n > 0 and 100 * n >= percent * (len(x) + len(y) - n))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return in_batches(both.select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,10 +226,10 @@ def components(links: DataFrame) -> DataFrame:
     return written(labels.join(least, "label").select("id", F.col("least").alias("label")), "components")
 
 
-def residual_links(members: DataFrame, k: int, r: int, m: int, percent: int) -> DataFrame:
+def residual_links(members: DataFrame, r: int, m: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of different labels that share a left half key, at least one for each two labels that have any.
 
-    ``members``: (rep, label, n_shingles, sig, text) of classes whose buckets hold several labels. A pair is
+    ``members``: (rep, label, n_shingles, sig, set) of classes whose buckets hold several labels. A pair is
     looked at in the first left half it shares: sizes and sketches first, then full sets. No pair
     leaves a task, only links, and those only while they join labels. Groups are dealt as
     pairs of blocks of ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles, so no task holds more than
@@ -232,7 +257,7 @@ def residual_links(members: DataFrame, k: int, r: int, m: int, percent: int) ->
             sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             bins = np.ascontiguousarray(sig[:, n_hashes:]).view("uint16")
             sig = sig[:, :n_hashes]
-            sets = shingles_of(group.column("text").combine_chunks(), k)
+            sets = sets_in(group, "set")
             ends = np.cumsum(size)
             flat = np.concatenate(sets)
             common = ids[counts.argmax()]
@@ -267,11 +292,17 @@ def residual_links(members: DataFrame, k: int, r: int, m: int, percent: int) ->
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r: int = R, m: int = M) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return labelled_rows(docs, k, percent, r, m).drop("text_hash")
+
+
+def labelled_rows(docs: DataFrame, k: int, percent: int, r: int, m: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept) of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = written(signatures(docs, k, r, m), "signatures")
     real = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(real.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = real.join(classes, ["set_hi", "set_lo"]).filter("doc_id = rep").select("rep", "n_shingles", "sig").dropDuplicates(["rep"])
+    # the number that stands for a class is fixed by writing it
+    classes = written(real.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = real.join(classes, ["set_hi", "set_lo"]).filter("doc_id = least").select("rep", "doc_id", "set_hi", "set_lo", "n_shingles", "sig").dropDuplicates(["rep"])
     reps = written(reps, "reps")
 
     tables = written(buckets(reps, r, m), "tables")
@@ -279,27 +310,30 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     sizes = reps.select("rep", "n_shingles")
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     star = star.join(sizes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b")), "b").filter(fits).select("a", "b")
-    links = written(confirmed(written(star, "star_pairs"), docs, k, percent), "star_links")
+    links = written(confirmed(written(star, "star_pairs"), docs, reps, k, percent), "star_links")
 
     labels = components(links)
     labelled = tables.filter("n > 2").join(labels, F.col("rep") == F.col("id"), "left").select("key", "i", "j", "n", "rep", F.coalesce("label", "rep").alias("label"))
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     open_reps = written(labelled.join(mixed, "key").select("rep", "label").distinct(), "open_reps")
-    members = open_reps.join(reps, "rep").join(texts_of(docs, open_reps.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep"), "rep")
-    more_links = residual_links(written(members, "members"), k, r, m, percent)
+    open_rows = open_reps.join(reps, "rep")
+    members = open_rows.join(sets_of(docs, open_rows.select("rep", "doc_id", "set_hi", "set_lo"), k), "rep").select("rep", "label", "n_shingles", "sig", "set")
+    more_links = residual_links(written(members, "members"), r, m, percent)
     known = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))  # one link a class stands for all found so far
     final = components(known.unionByName(more_links))
-    named = classes.join(final, F.col("rep") == F.col("id"), "left").select("set_hi", "set_lo", F.coalesce("label", "rep").alias("component"))
-    # equal ids under different texts: each row goes by its own class
+    named = classes.join(final, F.col("rep") == F.col("id"), "left").select("set_hi", "set_lo", "least", F.coalesce("label", "rep").alias("label"))
+    least = named.groupBy("label").agg(F.min("least").alias("component"))
+    named = named.join(least, "label").select("set_hi", "set_lo", "component")
     out = rows.join(named, ["set_hi", "set_lo"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80, r: int = R, m: int = 12) -> DataFrame:
-    """``docs`` with one document of each component; all columns stay. Of rows with one id, all stay or go."""
-    gone = written(near_duplicates(docs, k, percent, r, m).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """``docs`` with one document of each component; all columns stay. Of equal rows, all stay or go."""
+    gone = labelled_rows(docs, k, percent, r, m).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+    gone = written(gone, "gone")
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_gone_text"]), "left_anti")
 
 
 def oracle(k: int = SHINGLE, percent: int = PERCENT) -> str:

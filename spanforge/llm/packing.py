@@ -24,7 +24,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WordIds, default_tokenizer, slices, text_or_empty, written
+from spanforge.llm.common import WordIds, default_tokenizer, in_batches, slices, text_or_empty, worker, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -195,6 +195,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
     path = tokenizer or default_tokenizer()
 
+    @worker("words")
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -211,7 +212,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def places(patterns: Patterns) -> dict[int, tuple[list, list, list, list]]:
@@ -260,4 +261,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 offsets.append(at[i][which])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in schema.names[:5]), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], schema=schema)
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_batches(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

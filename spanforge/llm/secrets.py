@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import Cache, slices, text_or_empty, word_index
+from spanforge.llm.common import Cache, in_batches, slices, text_or_empty, word_index, worker
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "crf")
@@ -256,7 +256,7 @@ class Scanner:
     def __init__(self, field: Field):
         import numpy as np
 
-        self.field, self.cache = field, Cache(lambda keys: list(map(field.vectors, keys)), most=200_000)
+        self.field, self.cache = field, Cache(lambda keys: list(map(field.vectors, keys)))
         self.gap = 2 * max(float(m.max() - m.min()) for m in (np.concatenate([field.move.ravel(), field.start, field.end]),)) + 1e-3
         self.doc = field.doc.astype("float32")
         self.digit, self.lower = f"[0-9{_ranges(str.isdigit)}]", f"[a-z{_ranges(str.islower)}]"
@@ -383,6 +383,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """(doc_id, spans) of every document; spans by start, then kind as listed in ``KINDS``."""
     parts = _parts(field)
 
+    @worker("secrets")
     def run(batches):
         import pyarrow as pa
 
@@ -391,7 +392,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in _scanner(parts).spans(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, f"doc_id long, spans {_SPANS}")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, f"doc_id long, spans {_SPANS}")
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -399,6 +400,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     parts, names = _parts(field), docs.columns
     schema = docs.schema
 
+    @worker("secrets")
     def run(batches):
         import pyarrow as pa
 
@@ -422,7 +424,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 b = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
             yield b
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def digests(docs: DataFrame, field: Field | None = None) -> DataFrame:

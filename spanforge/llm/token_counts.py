@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import Cache, joined, slices, text_or_empty
+from spanforge.llm.common import Cache, joined, in_batches, slices, text_or_empty, worker
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -52,7 +52,7 @@ class UnigramCounter:
         self.unknown = min(s for _, s in vocab) - UNKNOWN_PENALTY
         if any(SPACE in p.lstrip(SPACE) for p, _ in vocab) or not all(float(s).is_integer() for _, s in vocab):
             raise ValueError("segments can only be scored apart if no piece holds a space inside and all scores are whole numbers")
-        self.cache = Cache(lambda keys: list(map(self.count, keys)), most=400_000)
+        self.cache = Cache(lambda keys: list(map(self.count, keys)))
 
     @classmethod
     def get(cls, path: str) -> "UnigramCounter":
@@ -134,10 +134,11 @@ def count_tokens(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every document."""
     path = vocab or default_vocabulary()
 
+    @worker("token_counts")
     def run(batches):
         import pyarrow as pa
 
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(UnigramCounter.get(path).many(b.column("text")))], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, "doc_id long, n_tokens long")

@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WordIds, default_tokenizer, slices, text_or_empty, written
+from spanforge.llm.common import WordIds, default_tokenizer, in_batches, slices, text_or_empty, worker, written
 
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 10_000
@@ -31,6 +31,7 @@ _FIELDS = "doc_id long, file_no int, row long, n_tokens int, ids array<int>"
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """The rows of a token file, in the order of the rows in each partition."""
 
+    @worker("words")
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -49,7 +50,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, k - i), pa.array(np.full(k - i, file_no, "int32")), pa.array(np.arange(row + i, row + k)), pa.array(np.diff(ends[i : k + 1]).astype("int32")), part], schema=schema)
             row += n
 
-    return docs.mapInArrow(run, _FIELDS)
+    return in_batches(docs, run, _FIELDS)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
@@ -79,6 +80,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     then a running sum goes over each file's rows.
     """
 
+    @worker("words")
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -91,7 +93,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("file_no"), b.column("row"), b.column("doc_id"), pa.array(np.diff(at).astype("int64")), pa.array(sums, pa.int64())], schema=schema)
 
     read = read_tokens(spark, path).select("file_no", "row", "doc_id", "ids")
-    rows = written(read.mapInArrow(run, "file_no int, row long, doc_id long, n_tokens long, ids_crc32 long"), "token_digests")
+    rows = written(in_batches(read, run, "file_no int, row long, doc_id long, n_tokens long, ids_crc32 long"), "token_digests")
     totals = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("file_no", (F.sum("n").over(Window.orderBy("file_no")) - F.col("n")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file_no").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))

@@ -297,6 +297,16 @@ def test_near_duplicates(spark, docs):
     assert minhash.dedup(frame(spark, rows)).columns == frame(spark, rows).columns
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Ids that stand under several texts: every row goes by its own text."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    for rows in ([(1, a), (1, b), (2, b + " z"), (3, a + " z")], [(1, a), (1, b), (1, b + " z"), (2, b + " z y"), (2, a), (4, "a b"), (4, "c d")]):
+        got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in minhash.near_duplicates(frame(spark, rows)).collect())
+        assert got == plain_components(rows, 3, 85)
+    c = " ".join(f"a{i}" for i in range(61))
+    assert Counter((x.doc_id, x.text) for x in minhash.dedup(frame(spark, [(1, a), (2, c), (2, b), (2, b)])).collect()) == {(1, a): 1, (2, b): 2}
+
+
 def test_token_counts(odd, docs):
     from tokenizers import models, normalizers
 
