@@ -196,17 +196,45 @@ def test_scanner_decodes_exactly():
         assert got.get(d, []) == [(i, g) for i, g in enumerate(field.viterbi(e, True, True)) if g], text
 
 
-def test_sharding(odd, docs, spark):
+def test_sharding(odd, docs, spark, tokenizer):
     for d in (odd, docs, frame(spark, [])):
         rows = sharding.assign(d).collect()
-        want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in d.collect())
-        assert want == Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows)
+        want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()), len(ids_of(tokenizer, r["text"], 0)) - 1) for r in d.collect())
+        assert want == Counter((r["doc_id"], r["size"], r["text_crc32"], r["n_tokens"]) for r in rows)
         slots = defaultdict(list)
         for r in rows:
             slots[r["shard"]].append(r["slot"])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(0 <= s < 40 for s in slots)
 
 
+def test_sharding_keeps_groups_and_balance(docs, spark):
+    """Equal texts lie on one shard unless they are more than a shard; sizes are near equal either way."""
+    one = docs.select("doc_id", "text").unionByName(docs.filter("doc_id % 5 = 0").select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
+    hot = one.unionByName(spark.range(20_000, 20_400).selectExpr("id AS doc_id", "repeat('hot text ', 300) AS text"))
+    for d, split in ((one, 0), (hot, 1)):
+        rows = sharding.assign(d, shards=8).collect()
+        where, size = defaultdict(set), Counter()
+        for r in rows:
+            where[r.text_crc32].add(r["shard"])
+            size[r["shard"]] += r["size"]
+        assert sum(len(x) > 1 for x in where.values()) == split
+        assert len(size) == 8 and max(size.values()) - min(size.values()) <= max(max(r["size"] for r in rows), 0.05 * sum(size.values()) / 8)
+
+
+def test_placement_takes_the_highest_dot_product():
+    r = random.Random(11)
+    cells = [(r.randint(1, 90), r.randint(1, 50), r.randint(1, 9)) for _ in range(200)]
+    even = [sum(c[k] for c in cells) / 5 for k in range(3)]
+    left, want = [[1.0] * 3 for _ in range(5)], {}
+    for i in sorted(range(200), key=lambda i: -max(cells[i][k] / even[k] for k in range(3))):
+        v = [cells[i][k] / even[k] for k in range(3)]
+        dots = [sum(a * b for a, b in zip(room, v)) for room in left]
+        want[i] = max(range(5), key=lambda s: (round(dots[s], 9), -s))
+        left[want[i]] = [a - b for a, b in zip(left[want[i]], v)]
+    got = sharding.place(cells, 5)
+    assert sum(got[i] == want[i] for i in range(200)) >= 198  # rounding may settle a tie
+
+
 def test_decontamination(spark):
     item = " ".join(f"item{i}" for i in range(30))
     bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
