@@ -245,6 +245,36 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontam.decontaminate(d, bench).collect()} == {3, 4, 5, None}
 
 
+def test_decontamination_against_all_alignments(spark):
+    """Items with substituted words in longer texts, against every alignment laid word by word; by shuffle and by broadcast, repeated ids and rows, an empty table."""
+    r = random.Random(17)
+    items = [(i, " ".join(f"w{r.randint(0, 300)}" for _ in range(r.choice((9, 15, 16, 30))))) for i in range(12)]
+    rows = []
+    for i in range(120):
+        words = r.choice(items)[1].split()
+        for _ in range(r.choice((0, 0, 1, 2))):
+            words[r.randrange(len(words))] = "other"
+        if i % 4 == 0:
+            words = words[: r.randint(3, len(words))]
+        rows.append((i % 110, " ".join([f"x{r.randint(0, 99)}" for _ in range(r.randint(0, 30))] + words + [f"y{r.randint(0, 99)}" for _ in range(r.randint(0, 30))])))
+
+    def alike(text, item):
+        w, b = text.split(), item.split()
+        n = min(15, len(b))
+        for shift in range(-len(b) + 1, len(w)):
+            eq = [x == y for x, y in ((w[shift + k], b[k]) for k in range(len(b)) if 0 <= shift + k < len(w))]
+            if any(100 * sum(eq[k : k + n]) >= 80 * n for k in range(max(1, len(eq) - n + 1))):
+                return True
+        return False
+
+    want = {(i, k) for i, t in rows for k, item in items if alike(t, item)}
+    d, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontam.MAX_BROADCAST_SEEDS, 0):
+        got = {(x.doc_id, x.item_id) for x in decontam.hits(d, bench, limit).collect()}
+        assert got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
+    assert not decontam.contaminated(frame(spark, []), bench).collect() and not decontam.contaminated(d, bench.limit(0)).collect()
+
+
 def test_token_files(spark, odd, tokenizer, tmp_path):
     for k, d in enumerate((odd, frame(spark, []))):
         path = str(tmp_path / f"t{k}")
