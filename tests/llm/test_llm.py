@@ -125,6 +125,62 @@ def test_html_keeps_blocks_of_cells_visible_children_and_stray_quotes():
     assert r("<a title = \"x>y\" b='>'>z</a><a c=d=\"e>f") == "zf" and r("<a" + " b='1'" * 2000) == "<a" + " b='1'" * 2000
 
 
+def test_html_spans_rows_and_stays_linear():
+    r = html_text.render
+    assert r("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>") == "ab  c\n    d\ne   f"
+    assert r("<table><tr><td colspan=2>a<td>b<tr><td>c<td rowspan=0>dd<td>e<tr><td>f<td>g</table>") == "a      b\nc  dd  e\nf      g"
+    for page in ("<div>" * 60_000 + "x", "<p>" + "<b>" * 60_000 + "</i>" * 60_000 + "x", "<a x=\"" * 60_000, "<a x=\">\"" * 60_000, "<table><tr><td>" + "<div>" * 40_000 + "</p>" * 40_000 + "x"):
+        assert len(r(page)) <= 9 * len(page)
+    wide = "<table><tr><td>" + "w" * 40_000 + "<td>x" + "<tr><td>a<td>b" * 2_000 + "</table>"
+    assert len(r(wide)) < 9 * len(wide) and r(wide).endswith("a  b")
+    spans = "<table>" + "<tr><td colspan=1000 rowspan=9>a<td>b" * 2_000 + "</table>"
+    assert len(r(spans)) < 9 * len(spans)
+
+
+def test_html_layout_against_plain_writer():
+    """Random pages of paragraphs, nested lists and tables, against lines written straight from their plan."""
+    rnd = random.Random(23)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(1, n)))
+
+    def items(depth, indent):
+        tag = rnd.choice(("ul", "ol"))
+        source, lines = f"<{tag}>", []
+        for i in range(rnd.randint(1, 3)):
+            t = words(3)
+            mark = "- " if tag == "ul" else f"{i + 1}. "
+            source += f"<li>{t}"
+            lines.append(indent + mark + t)
+            if depth and rnd.random() < 0.4:
+                inner, more = items(depth - 1, indent + " " * len(mark))
+                source += inner
+                lines += more
+            source += rnd.choice(("</li>", ""))
+        return source + f"</{tag}>", lines
+
+    def block():
+        x = rnd.random()
+        if x < 0.4:
+            t = words(8)
+            return f"<p>  {t} " + rnd.choice(("</p>", "")), [t]
+        if x < 0.7:
+            return items(2, "")
+        grid = [[words(2) for _ in range(rnd.randint(1, 4))] for _ in range(rnd.randint(1, 4))]
+        size = [max(len(row[c]) for row in grid if c < len(row)) for c in range(max(map(len, grid)))]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{t}" for t in row) for row in grid) + "</table>", ["  ".join(t.ljust(size[c]) for c, t in enumerate(row)).rstrip() for row in grid]
+
+    for _ in range(300):
+        blocks = [block() for _ in range(rnd.randint(1, 6))]
+        assert html_text.render("".join(b for b, _ in blocks)) == "\n\n".join("\n".join(lines) for _, lines in blocks)
+
+
+def test_html_rows(spark):
+    pages = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "<p>a", "x"), (3, "<p>a", "x"), (3, "<p>a", "x")], "page_id long, html string, text string")
+    assert Counter(tuple(x) for x in html_text.extract(pages).collect()) == Counter([(1, None), (2, ""), (None, "a"), (3, "a"), (3, "a")])
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_html_keeps_visible_words(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {x.page_id: x.text for x in html_text.extract(pages).collect()}
