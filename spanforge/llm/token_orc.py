@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import WordIds, default_tokenizer, in_batches, slices, text_or_empty, worker, written
 
+#: Text that a file takes at most, about: files do not grow with the input.
+FILE_BYTES = 256 << 20
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 10_000
 BLOOM_FPP = 0.01
@@ -54,9 +56,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> None:
-    """Write ``docs`` (doc_id, text) as ORC files in ascending id order. ``files``: None takes the session's shuffle partitions."""
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Write ``docs`` (doc_id, text) as ORC files in ascending id order. ``files``: None takes one for each ``FILE_BYTES``, the session's shuffle partitions at least."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    n = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     (
