@@ -6,7 +6,10 @@ Statements that Spark and DuckDB read alike are constants; functions run them ov
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from spanforge.operators import matching, rules
 
 #: Scores of a (criterion, tp, n_gold, n_pred) row.
 SCORES = """
@@ -44,12 +47,21 @@ SELECT label, count(*) AS n_gold, cast(sum(1 - matched) AS bigint) AS missed, co
 TOP_MISS = """
 SELECT doc_id, label, sens FROM (SELECT doc_id, label, sens, row_number() OVER (PARTITION BY doc_id ORDER BY sens, label) AS rn FROM (SELECT DISTINCT doc_id, label, (label * 5) % 7 AS sens FROM {facts} WHERE matched = 0) a) b WHERE rn = 1"""
 
-#: False positives: touching gold of another label, touching gold short of a match, or nothing.
-FP_BUCKETS = """
-SELECT bucket, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (
-  SELECT p.doc_id, CASE WHEN max(CASE WHEN c.pi IS NULL THEN 0 ELSE 1 END) = 0 THEN 'B1' WHEN max(CASE WHEN c.same_label THEN 1 ELSE 0 END) = 1 THEN 'B2' ELSE 'B3' END AS bucket
-  FROM {pred} p LEFT JOIN {cand} c ON c.doc_id = p.doc_id AND c.pi = p.pi
-  GROUP BY p.doc_id, p.pi HAVING max(CASE WHEN c.gs <= c.ps AND c.pe <= c.ge THEN 1 ELSE 0 END) = 0) x GROUP BY bucket"""
+def fp_buckets(gold: DataFrame, pred: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, kind, n, docs) of the predictions that no gold contains, by what they cover in the text.
+
+    B2: an order number or stock code in the surface, whatever it touches; else B3: gold is touched
+    short of containing; else B1, with a hint of what the surface may be.
+    """
+    touched = matching.candidates(gold, pred).groupBy("doc_id", "pi").agg(F.max((F.col("gs") <= F.col("ps")) & (F.col("pe") <= F.col("ge"))).alias("inside"))
+    wrong = pred.join(touched, ["doc_id", "pi"], "left").filter("NOT coalesce(inside, false)").join(texts, "doc_id")
+    look = rules.surface_kind(F.expr("substring(text, cast(s AS int) + 1, cast(e - s AS int))"))
+    named = wrong.select("doc_id", F.col("inside").isNotNull().alias("touches"), look.alias("look"))
+    hard = F.col("look").isin("order", "stock_code")
+    bucket = F.when(hard, "B2").when(F.col("touches"), "B3").otherwise("B1")
+    kind = F.when(~hard & F.col("touches"), "boundary").otherwise(F.col("look"))
+    return named.groupBy(bucket.alias("bucket"), kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
 
 #: Layers side by side: golds found, missed, documents missed.
 LAYERS = """
@@ -62,11 +74,23 @@ SELECT before, cast(sum(CASE WHEN after = 'full' THEN 1 ELSE 0 END) AS bigint) A
 FROM (SELECT CASE WHEN a.covered = a.glen THEN 'full' WHEN a.covered > 0 THEN 'partial' ELSE 'none' END AS before, CASE WHEN b.covered = b.glen THEN 'full' WHEN b.covered > 0 THEN 'partial' ELSE 'none' END AS after
       FROM {a} a JOIN {b} b ON a.doc_id = b.doc_id AND a.gi = b.gi) x GROUP BY before"""
 
-#: Counts in bins of 1, 2, 3 to 5, 6 and more; upper median.
-HISTOGRAM = """
-SELECT bin, count(*) AS n, min(v) AS least, max(CASE WHEN rn = mid THEN v END) AS upper_median, max(v) AS most, avg(cast(v AS double)) AS mean
-FROM (SELECT bin, v, row_number() OVER (PARTITION BY bin ORDER BY v) AS rn, cast(floor(count(*) OVER (PARTITION BY bin) / 2) + 1 AS bigint) AS mid
-      FROM (SELECT v, CASE WHEN v = 1 THEN '1' WHEN v = 2 THEN '2' WHEN v <= 5 THEN '3-5' ELSE '6+' END AS bin FROM {values}) a) b GROUP BY bin"""
+def histogram(values: DataFrame) -> DataFrame:
+    """(bin, n, percent, least, upper_median, most, mean) of whole numbers ``v``: counts of 1, 2, 3 to 5, 6 and more, empty bins
+    too, and one row ``all`` with the figures over all values. An empty input gives four empty bins and no figures.
+
+    Equal values meet first, so that the median is found among distinct ones.
+    """
+    counts = values.groupBy("v").agg(F.count("*").alias("k"))
+    upto = counts.select("v", "k", F.sum("k").over(Window.orderBy("v")).alias("upto"))  # one row for each distinct value
+    total = counts.agg(F.sum("k").alias("total"))
+    label = F.when(F.col("v") == 1, "1").when(F.col("v") == 2, "2").when(F.col("v").between(3, 5), "3-5").when(F.col("v") >= 6, "6+")
+    share = (F.coalesce("n", F.lit(0)) * 100 / F.col("total")).alias("percent")
+    no = F.lit(None).cast("long")
+    bins = counts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("1", "2", "3-5", "6+")))).alias("bin")).join(counts.groupBy(label.alias("bin")).agg(F.sum("k").alias("n")), "bin", "left").crossJoin(total)
+    whole = upto.crossJoin(total).agg(F.sum("k").alias("n"), F.min("v").alias("least"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("v"))).alias("upper_median"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
+    rows = bins.select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), share, no.alias("least"), no.alias("upper_median"), no.alias("most"), F.lit(None).cast("double").alias("mean"))
+    return rows.unionByName(whole.select(F.lit("all").alias("bin"), "n", F.lit(100.0).alias("percent"), "least", "upper_median", "most", "mean").filter("n IS NOT NULL"))
+
 
 CONFUSION = """SELECT glabel, plabel, count(*) AS n FROM {cand} WHERE exact GROUP BY glabel, plabel"""
 

@@ -6,10 +6,15 @@ aggregations over facts (a row a gold) or predictions, so it shuffles partial su
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.operators import decoding
+from spanforge.operators import decoding, taxonomy
+
+#: Items that context tells.
+CONTEXT_ITEMS = ("국문 성명", "주소", "영문 성명")
 
 #: Whether a prediction meets any gold by the minimum overlap.
 HITS = """
@@ -60,10 +65,30 @@ INCONSISTENT = """
 SELECT doc_id, label, count(*) AS n, cast(sum(CASE WHEN covered = glen THEN 1 ELSE 0 END) AS bigint) AS n_full, cast(sum(CASE WHEN covered = 0 THEN 1 ELSE 0 END) AS bigint) AS n_none FROM {facts} GROUP BY doc_id, label
 HAVING count(*) > 1 AND max(CASE WHEN covered = glen THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN covered = 0 THEN 1 ELSE 0 END) = 1"""
 
-#: Example buckets by state, so many of each label in each.
-EXAMPLES = """
-SELECT bucket, label, doc_id, gi, cast(rn AS bigint) AS rn FROM (SELECT bucket, label, doc_id, gi, row_number() OVER (PARTITION BY bucket, label ORDER BY doc_id, gi) AS rn FROM (
-  SELECT doc_id, gi, label, CASE WHEN covered = glen AND matched = 1 THEN 'A' WHEN covered = glen THEN 'B' WHEN covered > 0 AND matched = 1 THEN 'C' WHEN covered > 0 THEN 'D' ELSE 'E' END AS bucket FROM {facts}) a) b WHERE rn <= {quota}"""
+def examples(gold: DataFrame, pred: DataFrame, rule: DataFrame, probe_type: DataFrame, n: int = 5, fixed: int = 3) -> DataFrame:
+    """(bucket, stratum, doc_id, at, extra, rn): examples by document (as text) and place, ``n`` or ``fixed`` of each stratum.
+
+    Golds that no prediction touches: A by item that context tells, B by unique identifier, E by probe type in documents
+    without any rule span, F where a rule span has the gold's very bounds. Predictions: C cover a gold
+    and ``extra`` characters beyond the longest they cover, D touch no gold. ``gold`` has an ``item``.
+    """
+    spans = lambda d, *more: d.select("doc_id", "s", "e", *more)
+    g, p, r = spans(gold, "item").alias("g"), spans(pred).alias("p"), spans(rule)
+    touch = F.expr("g.doc_id = p.doc_id AND g.s < p.e AND p.s < g.e")
+    missed = g.join(p, touch, "left_anti")
+    at = missed.select("doc_id", F.col("s").alias("place"), "e", "item", F.lit(0).cast("long").alias("extra"))
+    pick = lambda d, bucket, stratum: d.select(F.lit(bucket).alias("bucket"), stratum.alias("stratum"), "doc_id", "place", "extra")
+    covering = g.join(p, F.expr("g.doc_id = p.doc_id AND p.s <= g.s AND g.e <= p.e"))
+    over = covering.groupBy("p.doc_id", "p.s", "p.e").agg(F.max(F.expr("g.e - g.s")).alias("longest")).select("doc_id", F.col("s").alias("place"), (F.col("e") - F.col("s") - F.col("longest")).alias("extra")).filter("extra > 0")
+    pure = p.join(g, touch, "left_anti").select("doc_id", F.col("s").alias("place"), F.lit(0).cast("long").alias("extra"))
+    lone = at.join(r.select("doc_id").distinct(), "doc_id", "left_anti").join(probe_type, "doc_id").filter("probe_type IS NOT NULL")
+    pools = (
+        pick(at.filter(F.col("item").isin(*CONTEXT_ITEMS)), "A", F.col("item")), pick(at.filter(F.col("item").isin(*taxonomy.RULE_ITEMS)), "B", F.col("item")), pick(over, "C", F.lit("")), pick(pure, "D", F.lit("")),
+        pick(lone, "E", F.col("probe_type")), pick(at.join(r.select("doc_id", F.col("s").alias("place"), "e").distinct(), ["doc_id", "place", "e"], "left_semi"), "F", F.lit("")),
+    )
+    ranked = reduce(DataFrame.unionByName, pools).withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "stratum").orderBy(F.col("doc_id").cast("string"), "place", "extra")).cast("long"))
+    return ranked.filter(F.col("rn") <= F.when(F.col("bucket").isin("B", "E"), fixed).otherwise(n))
+
 
 #: Values by kind whose check digits hold although they must not.
 CHECK_AUDIT = """SELECT kind, count(*) AS n, cast(sum(CASE WHEN valid THEN 1 ELSE 0 END) AS bigint) AS still_valid FROM {checked} GROUP BY kind"""

@@ -1,35 +1,45 @@
 """Error taxonomy: tags of each gold, prediction and document, and picks of examples.
 
-``facts`` carries both decodings: before/after coverage (``covered_a``, ``covered``), the match, the
-representative prediction and the text cues as booleans, so that the axes are one wide projection.
+The facts of a gold carry both decodings, the match, the representative prediction and the text, so
+that the axes are one wide projection.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 AXES = ("F1_ORPHAN", "F2_FORM", "F3_NARR", "F5_MISLABEL", "F6_OVERRUN", "F7_INCONSIST", "H1_RULE", "H2_OPF_ONLY", "V1_DECODE", "V2_REGRESS")
 
 # Cue words in the characters before a span, honorifics in what a prediction adds, items that rules find
 CONTEXT_CHARS = 15
 FORM_CUES = ("성명", "직책", "담당자", "이름")
-ADDRESS_CUE = "주소"
+ADDRESS_ITEM = ADDRESS_CUE = "주소"
 HONORIFICS = ("님", "씨", "수석", "팀장", "과장", "차장", "부장", "PB")
 RULE_ITEMS = ("주민등록번호", "외국인등록번호", "여권번호", "운전면허번호")
 NAME_ITEMS = ("국문 성명", "영문 성명")
 
-#: One row for each gold and axis that holds. is_name, is_address, has_cue, honorific: booleans of the fact row.
-GOLD_AXES = """
-SELECT doc_id, gi, axis FROM (
-  SELECT doc_id, gi, 'F1_ORPHAN' AS axis, covered > 0 AND covered < glen AS holds FROM {facts}
-  UNION ALL SELECT doc_id, gi, 'F2_FORM', covered = 0 AND is_name AND has_cue FROM {facts}
-  UNION ALL SELECT doc_id, gi, 'F3_NARR', covered = 0 AND is_address AND NOT has_cue FROM {facts}
-  UNION ALL SELECT doc_id, gi, 'F5_MISLABEL', coalesce(rep_exact AND rep_label <> label, false) FROM {facts}
-  UNION ALL SELECT doc_id, gi, 'F6_OVERRUN', coalesce(rep_outside AND honorific, false) FROM {facts}
-  UNION ALL SELECT f.doc_id, f.gi, 'F7_INCONSIST', i.n IS NOT NULL FROM {facts} f LEFT JOIN (
-      SELECT doc_id, label, count(*) AS n FROM {facts} GROUP BY doc_id, label HAVING count(*) > 1 AND max(CASE WHEN covered = glen THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN covered = 0 THEN 1 ELSE 0 END) = 1) i ON i.doc_id = f.doc_id AND i.label = f.label
-  UNION ALL SELECT doc_id, gi, 'H1_RULE', label IN (0, 1, 2, 3) AND matched = 0 FROM {facts}
-  UNION ALL SELECT doc_id, gi, 'H2_OPF_ONLY', label NOT IN (0, 1, 2, 3) AND covered = glen FROM {facts}
-  UNION ALL SELECT doc_id, gi, 'V1_DECODE', matched = 1 AND matched_a = 0 FROM {facts}
-  UNION ALL SELECT doc_id, gi, 'V2_REGRESS', covered_a > 0 AND covered = 0 FROM {facts}) x WHERE holds"""
+def gold_axes(facts: DataFrame) -> DataFrame:
+    """(doc_id, gi, axis): one row for each gold and axis that holds, from one projection of the facts.
+
+    ``facts``: s, e, item, label, glen, text, coverage and match of both decodings (``_a``: the first), and the representative
+    prediction (rep_s, rep_e, rep_label), null where there is none.
+    """
+    reach = F.least(F.col("s"), F.lit(CONTEXT_CHARS)).cast("int")
+    before = F.substring("text", (F.col("s") - reach + 1).cast("int"), reach)
+    beyond = F.concat(*(F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")) for a, b in ((F.col("rep_s"), F.col("s")), (F.col("e"), F.col("rep_e")))))
+    any_of = lambda words, text: F.array_contains(F.transform(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), True)
+    none, full, ruled = F.col("covered") == 0, F.col("covered") == F.col("glen"), F.col("item").isin(*RULE_ITEMS)
+    alike = Window.partitionBy("doc_id", "item")
+    holds = {
+        "F1_ORPHAN": ~none & ~full, "F2_FORM": none & F.col("item").isin(*NAME_ITEMS) & any_of(FORM_CUES, F.col("_before")), "F3_NARR": none & (F.col("item") == ADDRESS_ITEM) & ~F.contains("_before", F.lit(ADDRESS_CUE)),
+        "F5_MISLABEL": (F.col("rep_s") == F.col("s")) & (F.col("rep_e") == F.col("e")) & (F.col("rep_label") != F.col("label")), "F6_OVERRUN": any_of(HONORIFICS, F.col("_beyond")), "F7_INCONSIST": F.col("_some_full") & F.col("_some_none"),
+        "H1_RULE": ruled & (F.col("matched") == 0), "H2_OPF_ONLY": ~ruled & full, "V1_DECODE": (F.col("matched") == 1) & (F.col("matched_a") == 0), "V2_REGRESS": (F.col("covered_a") > 0) & none,
+    }
+    cued = facts.withColumns({"_before": before, "_beyond": beyond, "_some_full": F.max(full).over(alike), "_some_none": F.max(none).over(alike)})
+    axes = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in holds.items())))
+    return cued.select("doc_id", "gi", F.explode(axes).alias("axis"))
+
 
 POPULATIONS = """SELECT axis, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {axes} GROUP BY axis"""
 

@@ -30,6 +30,24 @@ def ctes(**dense) -> str:
     return f"gold AS ({statement('gold', **dense).replace('{lineitem}', 'lineitem')}), pred AS ({statement('pred', **dense).replace('{lineitem}', 'lineitem')})"
 
 
+#: Eight characters of text for each slot, in turn: cues, honorifics, and what false positives look like.
+PIECES = ("담당자 김민수 ", "서울 주소 이하 ", "20240131", "-123456 ", "수석님 부장씨 ", "005930주 ", "2024-1-3", " 35세 여성 ")
+_TEXTS = f"""SELECT doc_id, {{joined}} AS text FROM (SELECT l_orderkey AS doc_id, rn, CASE (l_orderkey + rn) % 8 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(PIECES))} END AS piece FROM ({_ROWS}) r) x GROUP BY doc_id"""
+#: What the labels stand for.
+ITEMS = ("국문 성명", "주소", "주민등록번호")
+ITEM = f"CASE label {' '.join(f'WHEN {i} THEN {x!r}' for i, x in enumerate(ITEMS))} END"
+#: A layer of rules: some of the golds.
+RULE = "SELECT doc_id, s, e FROM {gold} WHERE (doc_id + gi) % 5 = 0"
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of the arithmetic fixture."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return spark.sql(_TEXTS.replace("{joined}", "listagg(piece, '') WITHIN GROUP (ORDER BY rn)"), lineitem=li)
+
+
+TEXT_CTE = f"texts AS ({_TEXTS.replace('{joined}', 'string_agg(piece, chr(0) ORDER BY rn)').replace('{lineitem}', 'lineitem').replace('chr(0)', chr(39) * 2)})"
+
 #: Tokens with tags by arithmetic: every kind of break occurs.
 TOKENS = """SELECT l_orderkey AS doc_id, cast(rn AS bigint) AS ti, cast((rn - 1) * 4 AS bigint) AS s, cast((rn - 1) * 4 + CASE WHEN l_suppkey % 11 = 0 THEN 0 ELSE 3 END AS bigint) AS e,
   CASE l_partkey % 6 WHEN 0 THEN 'O' WHEN 1 THEN 'B-' WHEN 2 THEN 'I-' WHEN 3 THEN 'E-' WHEN 4 THEN 'S-' ELSE 'O' END || CASE WHEN l_partkey % 6 IN (0, 5) THEN '' WHEN l_suppkey % 3 = 0 THEN 'y' ELSE 'x' END AS tag,

@@ -47,11 +47,24 @@ SECOND = f"pred2 AS ({fixtures.statement('pred', drop=3).replace('{lineitem}', '
 TIERED = """SELECT c.doc_id, c.gi, c.label, c.glen, c.covered, m.matched, CASE WHEN c.glen < q.q1 THEN 'T1' WHEN c.glen < q.q2 THEN 'T2' ELSE 'T3' END AS tier
 FROM {cov} c JOIN {m} m ON m.doc_id = c.doc_id AND m.gi = c.gi CROSS JOIN {q} q"""
 FACTS = f"{ISL}, q AS ({fill(metrics.TERCILES, facts='cov')}), facts AS ({fill(TIERED, cov='cov', m='m', q='q')})"
-WIDE = """SELECT c.doc_id, c.gi, c.label, c.glen, c.covered, m.matched, a.covered AS covered_a, ma.matched AS matched_a, c.label = 1 AS is_name, c.label = 2 AS is_address, c.gi % 2 = 0 AS has_cue, c.gi % 3 = 0 AS honorific,
-  (r.ps = r.gs AND r.pe = r.ge) AS rep_exact, r.plabel AS rep_label, (r.ps < r.gs OR r.pe > r.ge) AS rep_outside
-FROM {cov} c JOIN {m} m ON m.doc_id = c.doc_id AND m.gi = c.gi JOIN {cov2} a ON a.doc_id = c.doc_id AND a.gi = c.gi JOIN {m2} ma ON ma.doc_id = c.doc_id AND ma.gi = c.gi
-LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gi ORDER BY ov DESC, ps, pi) AS rn FROM {cand}) x WHERE rn = 1) r ON r.doc_id = c.doc_id AND r.gi = c.gi"""
-AXES = f"{ISL}, {SECOND}, facts AS ({fill(WIDE, cov='cov', m='m', cov2='cov2', m2='m2', cand='cand')}), axes AS ({fill(taxonomy.GOLD_AXES, facts='facts')})"
+WIDE = """SELECT c.doc_id, c.gi, g.s, g.e, c.label, ITEM AS item, c.glen, c.covered, m.matched, a.covered AS covered_a, ma.matched AS matched_a, r.ps AS rep_s, r.pe AS rep_e, r.plabel AS rep_label, t.text
+FROM {cov} c JOIN {gold} g ON g.doc_id = c.doc_id AND g.gi = c.gi JOIN {texts} t ON t.doc_id = c.doc_id JOIN {m} m ON m.doc_id = c.doc_id AND m.gi = c.gi
+JOIN {cov2} a ON a.doc_id = c.doc_id AND a.gi = c.gi JOIN {m2} ma ON ma.doc_id = c.doc_id AND ma.gi = c.gi
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gi ORDER BY ov DESC, ps, pi) AS rn FROM {cand}) x WHERE rn = 1) r ON r.doc_id = c.doc_id AND r.gi = c.gi""".replace("ITEM", fixtures.ITEM.replace("label", "c.label"))
+#: The axes by themselves, each as a condition, cues by regular expressions.
+_AXIS = {
+    "F1_ORPHAN": "covered > 0 AND covered < glen",
+    "F2_FORM": "covered = 0 AND item LIKE '%성명' AND regexp_matches(ctx, '성명|직책|담당자|이름')",
+    "F3_NARR": "covered = 0 AND item = '주소' AND ctx NOT LIKE '%주소%'",
+    "F5_MISLABEL": "rep_s = s AND rep_e = e AND rep_label <> label",
+    "F6_OVERRUN": "(rep_s < s AND regexp_matches(substr(text, rep_s + 1, s - rep_s), '님|씨|수석|팀장|과장|차장|부장|PB')) OR (rep_e > e AND regexp_matches(substr(text, e + 1, rep_e - e), '님|씨|수석|팀장|과장|차장|부장|PB'))",
+    "F7_INCONSIST": "EXISTS (SELECT 1 FROM facts o WHERE o.doc_id = f.doc_id AND o.item = f.item AND o.covered = o.glen) AND EXISTS (SELECT 1 FROM facts o WHERE o.doc_id = f.doc_id AND o.item = f.item AND o.covered = 0)",
+    "H1_RULE": "item = '주민등록번호' AND matched = 0",
+    "H2_OPF_ONLY": "item <> '주민등록번호' AND covered = glen",
+    "V1_DECODE": "matched = 1 AND matched_a = 0",
+    "V2_REGRESS": "covered_a > 0 AND covered = 0",
+}
+AXES = f"{ISL}, {SECOND}, {fixtures.TEXT_CTE}, facts AS ({fill(WIDE, cov='cov', gold='gold', texts='texts', m='m', cov2='cov2', m2='m2', cand='cand')}), f AS (SELECT *, substr(text, greatest(s - 15, 0) + 1, s - greatest(s - 15, 0)) AS ctx FROM facts), axes AS ({' UNION ALL '.join(f"SELECT doc_id, gi, '{n}' AS axis FROM f WHERE {c}" for n, c in _AXIS.items())})"
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +78,11 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred2 = fixtures.frames(spark, sf_dir, drop=3)[1]
     cand = matching.candidates(gold, pred)
     cov2, m2 = matching.coverage(gold, pred2), matching.threshold(gold, matching.candidates(gold, pred2))
-    return metrics.run(WIDE, cand, cov=matching.coverage(gold, pred), m=matching.threshold(gold, cand), cov2=cov2, m2=m2, cand=cand)
+    return metrics.run(WIDE, cand, cov=matching.coverage(gold, pred), gold=gold, texts=fixtures.texts(spark, sf_dir), m=matching.threshold(gold, cand), cov2=cov2, m2=m2, cand=cand)
 
 
 def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _wide(spark, sf_dir)
-    return metrics.run(taxonomy.GOLD_AXES, facts, facts=facts)
+    return taxonomy.gold_axes(_wide(spark, sf_dir))
 
 
 # --- text rules, masks -----------------------------------------------------------------------
@@ -380,11 +392,17 @@ _from_facts("top_docs", taxonomy.TOP_DOCS, "TOP4", top=5)
 _from_facts("top_partial", taxonomy.TOP_PARTIAL, "TOP6", top=10)
 
 
-@query(f"WITH {CAND} {fill(metrics.FP_BUCKETS, pred='pred', cand='cand')}")
+@query(
+    f"""WITH {G}, {fixtures.TEXT_CTE}, w AS (SELECT p.doc_id, p.pi, substr(t.text, p.s + 1, p.e - p.s) AS v, EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND g.s < p.e AND p.s < g.e) AS hit
+  FROM pred p JOIN texts t USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND g.s <= p.s AND p.e <= g.e)),
+k AS (SELECT doc_id, hit, CASE WHEN regexp_matches(v, '[0-9]{{8}}-[0-9]{{6}}') THEN 'order' WHEN v LIKE '%005930%' OR v LIKE '%000660%' OR v LIKE '%035420%' OR v LIKE '%207940%' OR v LIKE '%051910%' THEN 'stock_code'
+  WHEN hit THEN 'boundary' WHEN regexp_matches(v, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]{{4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,2}}|[0-9]{{4}} *년|[0-9]{{1,2}} *월 *[0-9]{{1,2}} *일|[0-9]{{1,2}} *월 *[0-9]{{4}}') THEN 'date'
+  WHEN regexp_matches(v, '[0-9]{{1,3}} *(세|살)') OR regexp_full_match(v, '[0-9]{{1,3}}') THEN 'age' WHEN regexp_matches(v, '(남성|여성|남자|여자|남|여)$') THEN 'sex' ELSE 'other' END AS kind FROM w)
+SELECT CASE kind WHEN 'order' THEN 'B2' WHEN 'stock_code' THEN 'B2' WHEN 'boundary' THEN 'B3' ELSE 'B1' END AS bucket, kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k GROUP BY kind"""
+)
 def fp_buckets(spark, sf_dir):
-    g, p = fixtures.frames(spark, sf_dir)
-    cand = matching.candidates(g, p)
-    return metrics.run(metrics.FP_BUCKETS, cand, pred=p, cand=cand)
+    """AGG12: false positives by what they cover."""
+    return metrics.fp_buckets(*fixtures.frames(spark, sf_dir), fixtures.texts(spark, sf_dir))
 
 
 _UNION = f"both_ AS (SELECT doc_id, s, e, label FROM pred UNION SELECT doc_id, s, e, label FROM pred2), islu AS ({fill(matching.ISLANDS, spans='both_', op='>')}), covu AS ({fill(matching.COVERAGE, gold='gold', islands='islu')})"
@@ -407,10 +425,14 @@ def state_crosstab(spark, sf_dir):
     return metrics.run(metrics.CROSSTAB, gold, a=before, b=matching.coverage(gold, pred))
 
 
-@query(f"WITH {G}, v AS (SELECT count(*) AS v FROM pred GROUP BY doc_id) {fill(metrics.HISTOGRAM, values='v')}")
+@query(
+    f"""WITH {G}, v AS (SELECT count(*) AS v FROM pred GROUP BY doc_id), a AS (SELECT list_sort(list(v)) AS l FROM v)
+SELECT b.bin, len(list_filter(l, lambda x: x BETWEEN b.lo AND b.hi))::BIGINT AS n, 100.0::DOUBLE * len(list_filter(l, lambda x: x BETWEEN b.lo AND b.hi)) / len(l) AS percent, NULL::BIGINT AS least, NULL::BIGINT AS upper_median, NULL::BIGINT AS most, NULL::DOUBLE AS mean
+FROM a, (VALUES ('1', 1, 1), ('2', 2, 2), ('3-5', 3, 5), ('6+', 6, 1000000000)) b(bin, lo, hi) UNION ALL SELECT 'all', len(l)::BIGINT, 100, l[1], l[len(l) // 2 + 1], l[-1], list_avg(l) FROM a"""
+)
 def spans_histogram(spark, sf_dir):
-    v = fixtures.frames(spark, sf_dir)[1].groupBy("doc_id").agg(F.count("*").alias("v"))
-    return metrics.run(metrics.HISTOGRAM, v, values=v)
+    """AGG15: counts by bin, figures over all values."""
+    return metrics.histogram(fixtures.frames(spark, sf_dir)[1].groupBy("doc_id").agg(F.count("*").alias("v")))
 
 
 @query(f"WITH {CAND} {fill(metrics.CONFUSION, cand='cand')}")
@@ -711,7 +733,21 @@ def token_windows(spark, sf_dir):
     return metrics.run(summaries.TOKEN_WINDOWS, t, tokens=t, size=3)
 
 
-_from_facts("example_buckets", summaries.EXAMPLES, "TOP5", quota=3)
+@query(
+    f"""WITH {G}, rule AS ({fixtures.RULE.replace('{gold}', 'gold')}), g AS (SELECT *, {fixtures.ITEM} AS item, CASE doc_id % 4 WHEN 1 THEN 'P1' WHEN 2 THEN 'P2' WHEN 3 THEN 'P3' END AS probe FROM gold),
+x AS (SELECT p.doc_id, p.s, p.e, max(g.e - g.s) FILTER (p.s <= g.s AND g.e <= p.e) AS longest, count(g.s) AS touched FROM pred p LEFT JOIN gold g ON g.doc_id = p.doc_id AND g.s < p.e AND p.s < g.e GROUP BY ALL),
+m AS (SELECT g.*, EXISTS (SELECT 1 FROM rule r WHERE r.doc_id = g.doc_id) AS ruled, EXISTS (SELECT 1 FROM rule r WHERE r.doc_id = g.doc_id AND r.s = g.s AND r.e = g.e) AS exact FROM g WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND g.s < p.e AND p.s < g.e)),
+u AS (SELECT 'A' AS bucket, item AS stratum, doc_id, s AS place, 0 AS extra, 5 AS q FROM m WHERE item IN ('국문 성명', '주소') UNION ALL SELECT 'B', item, doc_id, s, 0, 3 FROM m WHERE item = '주민등록번호'
+  UNION ALL SELECT 'C', '', doc_id, s, e - s - longest, 5 FROM x WHERE e - s > longest UNION ALL SELECT 'D', '', doc_id, s, 0, 5 FROM x WHERE touched = 0
+  UNION ALL SELECT 'E', probe, doc_id, s, 0, 3 FROM m WHERE NOT ruled AND probe IS NOT NULL UNION ALL SELECT 'F', '', doc_id, s, 0, 5 FROM m WHERE exact)
+SELECT bucket, stratum, doc_id, place, extra::BIGINT AS extra, rn FROM (SELECT *, row_number() OVER (PARTITION BY bucket, stratum ORDER BY doc_id::VARCHAR, place, extra) AS rn FROM u) WHERE rn <= q"""
+)
+def example_buckets(spark, sf_dir):
+    """TOP5: examples in six buckets."""
+    gold, pred = fixtures.frames(spark, sf_dir)
+    rule = spark.sql(fixtures.RULE, gold=gold)
+    kind = gold.select("doc_id").distinct().select("doc_id", F.expr("CASE doc_id % 4 WHEN 1 THEN 'P1' WHEN 2 THEN 'P2' WHEN 3 THEN 'P3' END").alias("probe_type"))
+    return summaries.examples(gold.withColumn("item", F.expr(fixtures.ITEM)), pred, rule, kind)
 
 
 @query("""WITH t AS (SELECT unnest(['O', 'B-x', 'I-x', 'E-x', 'S-x', 'B-y', 'I-y', 'E-y', 'S-y']) AS tag, unnest(range(9)) AS i)
