@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge import functions as fn
 from spanforge.api import Redactor
-from spanforge.operators import corpus, decoding, matching, metrics, rewrites, rules, sampling, summaries, taxonomy
+from spanforge.operators import corpus, decoding, matching, metrics, reports, rewrites, rules, sampling, summaries, taxonomy
 from spanforge.plans import evaluation, fixtures
 from spanforge.sources import readers, sinks
 
@@ -327,7 +327,15 @@ def containment_suppression(spark, sf_dir):
     return _out(ordered.withColumn("spans", F.transform("x", lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end"), y["label"].alias("label")))), fn.uncontained("spans"))
 
 
-@query()
+#: The older merge in DuckDB: a walk over ranks, the wider first at equal starts.
+WIDER_WALK = """r AS (SELECT doc_id, s, e, label, row_number() OVER (PARTITION BY doc_id ORDER BY s, s - e, label) AS k FROM (SELECT DISTINCT doc_id, s, e, label FROM {spans}) d),
+w AS (SELECT doc_id, 0::BIGINT AS k, []::STRUCT(s BIGINT, e BIGINT, label BIGINT)[] AS o FROM (SELECT DISTINCT doc_id FROM r) UNION ALL
+      SELECT doc_id, k, CASE WHEN i = 0 THEN list_append(o, x) WHEN x.e - x.s > o[i].e - o[i].s THEN o[1:i - 1] || [x] || o[i + 1:] ELSE o END
+      FROM (SELECT w.doc_id, r.k, w.o, {'s': r.s, 'e': r.e, 'label': r.label} AS x, coalesce(list_position(list_transform(w.o, lambda y: r.s < y.e AND y.s < r.e), true), 0) AS i FROM w JOIN r ON r.doc_id = w.doc_id AND r.k = w.k + 1) z),
+wider AS (SELECT doc_id, unnest(o, recursive := true) FROM (SELECT doc_id, arg_max(o, k) AS o FROM w GROUP BY doc_id) y)"""
+
+
+@query(f"WITH RECURSIVE {G}, {WIDER_WALK.replace('{spans}', 'pred')} SELECT doc_id, s, e, label FROM wider")
 def wider_merge(spark, sf_dir):
     """WIN3: the older merge, which can lose characters."""
     return _out(_spans_of(fixtures.frames(spark, sf_dir)[1]), fn.wider_wins("spans"))
@@ -865,3 +873,73 @@ def redactor_output(spark, sf_dir):
     """UDF1: the caller's interface, kinds hidden."""
     out = Redactor("redacted", rules.TEXT_RULES).transform(docs(spark, sf_dir).select("doc_id", "text"))
     return _digest(out.select("doc_id", "redacted_text"), F.col("redacted_text"))
+
+
+# --- report tables ---------------------------------------------------------------------------
+
+_RULES = f"rule_ AS ({fixtures.RULE.replace('e FROM', 'e, label FROM').replace('{gold}', 'gold')}), both_ AS (SELECT doc_id, s, e, label FROM pred UNION SELECT doc_id, s, e, label FROM rule_)"
+_LAYERED = f"""WITH RECURSIVE {G}, {_RULES}, {WIDER_WALK.replace('{spans}', 'both_')},
+spans AS (SELECT 'model' AS layer, * FROM (SELECT DISTINCT doc_id, s, e, label FROM pred) a UNION ALL SELECT 'rule', * FROM (SELECT DISTINCT doc_id, s, e, label FROM rule_) b
+  UNION ALL SELECT 'union', doc_id, s, e, -1 FROM ({fill(matching.ISLANDS, spans='both_', op='>=')}) u UNION ALL SELECT 'wider', doc_id, s, e, label FROM wider),
+f AS (SELECT l.layer, g.doc_id, g.gi, g.label, EXISTS (SELECT 1 FROM spans p WHERE p.layer = l.layer AND p.doc_id = g.doc_id AND p.s <= g.s AND g.e <= p.e) AS hit,
+  EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.s <= g.s AND g.e <= p.e) AS by_model FROM gold g CROSS JOIN (VALUES ('model'), ('rule'), ('union'), ('wider')) l(layer))"""
+_LAYER_COUNTS = "count(*) AS n_gold, count(*) FILTER (hit) AS hit, count(*) FILTER (NOT hit) AS missed, count(DISTINCT doc_id) FILTER (NOT hit) AS docs_missed, count(*) FILTER (hit AND NOT by_model) AS rescued"
+
+
+def _layer_inputs(spark, sf_dir):
+    gold, pred = fixtures.frames(spark, sf_dir)
+    return gold, pred, gold.filter("(doc_id + gi) % 5 = 0").select("doc_id", "s", "e", "label")
+
+
+@query(f"{_LAYERED} SELECT layer, label, {_LAYER_COUNTS} FROM f GROUP BY layer, label")
+def layers_by_label(spark, sf_dir):
+    """AGG13: model, rules, their union and the older merge, by label."""
+    return reports.layers_by_label(*_layer_inputs(spark, sf_dir))
+
+
+@query(f"""{_LAYERED}, c AS (SELECT layer, {_LAYER_COUNTS}, count(*) FILTER (NOT hit AND label < 2) AS identifiers_missed FROM f GROUP BY layer),
+n AS (SELECT layer, count(*) AS n_pred, count(*) FILTER (NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND g.s <= p.s AND p.e <= g.e)) AS fp FROM spans p GROUP BY layer)
+SELECT c.*, n.n_pred, n.fp FROM c JOIN n USING (layer)""")
+def layer_totals(spark, sf_dir):
+    """AGG13: the layers as wholes, with false positives and missed identifiers."""
+    return reports.layer_totals(*_layer_inputs(spark, sf_dir), identifiers=(0, 1))
+
+
+@query(f"""WITH {CAND}, c AS (SELECT doc_id, pi, label, unnest(range(s, e)) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, label, pi) AS k FROM pred),
+o AS (SELECT doc_id, pi, label, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY k) AS rn FROM c) x WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = x.doc_id AND g.s <= x.i AND x.i < g.e)),
+p AS (SELECT doc_id, pi, label, count(*) AS n FROM o GROUP BY ALL), b AS (SELECT doc_id, pi, arg_max(glabel, (ov, -gi)) AS owner FROM cand GROUP BY ALL)
+SELECT coalesce(b.owner, CASE WHEN p.label IN (SELECT label FROM gold) THEN p.label END, -1)::BIGINT AS owner, sum(p.n)::BIGINT AS over_chars, count(*) AS n FROM p LEFT JOIN b USING (doc_id, pi) GROUP BY 1""")
+def overmask_by_owner(spark, sf_dir):
+    """MAT8: characters masked beyond gold, by the gold they lie at; the SQL counts them one by one."""
+    return reports.overmask_by_owner(*fixtures.frames(spark, sf_dir))
+
+
+G11 = fixtures.ctes(labels=11)
+_WALK, _, _MATCHED = matching.GREEDY_WALK.replace("{keep}", "same_label").rpartition("SELECT")
+
+
+@query(f"""WITH RECURSIVE {G11}, cand AS ({fill(matching.CANDIDATES, gold='gold', pred='pred')}), {_WALK}, t AS (SELECT {_MATCHED}),
+f AS (SELECT label, EXISTS (SELECT 1 FROM t WHERE t.doc_id = g.doc_id AND t.gi = g.gi) AS tp, EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.s <= g.s AND g.e <= p.e) AS held FROM gold g WHERE label < 4),
+a AS (SELECT coalesce(label, -1) AS label, count(*) AS n_gold, count(*) FILTER (tp) AS tp, count(*) FILTER (NOT tp) AS fn, count(*) FILTER (held) AS covered, count(*) FILTER (NOT held) AS uncovered FROM f GROUP BY GROUPING SETS ((label), ()))
+SELECT *, CASE WHEN label = -1 THEN CASE WHEN fn <= 4 THEN 'pass' ELSE 'fail' END END AS verdict, CASE WHEN label = -1 THEN CASE WHEN uncovered <= 4 THEN 'pass' ELSE 'fail' END END AS kept_verdict FROM a""")
+def identifier_rollup(spark, sf_dir):
+    """AGG11: four identifying labels against an allowance of four."""
+    return reports.identifier_rollup(*fixtures.frames(spark, sf_dir, labels=11), identifiers=(0, 1, 2, 3))
+
+
+@query(f"WITH RECURSIVE {CAND.replace('(g.label = p.label) AS same_label', '(p.label IN (g.label, (g.label + g.gi) % 3)) AS same_label')}, {matching.GREEDY_WALK.replace('{keep}', 'same_label')}")
+def greedy_partial_two_names(spark, sf_dir):
+    """PRD4: a prediction may carry the gold's own label or the model's name for it."""
+    gold, pred = fixtures.frames(spark, sf_dir)
+    return matching.greedy(reports.two_names(gold.withColumn("model_label", F.expr("(label + gi) % 3")), pred), "partial")
+
+
+@query(f"""WITH {fixtures.TOKEN_CTE}, k AS (SELECT doc_id, s, tag[1] AS pre, tag[3:] AS lab, row_number() OVER (PARTITION BY doc_id ORDER BY ti) AS k FROM tok WHERE s <> e),
+j AS (SELECT a.*, b.pre AS pp, b.lab AS pl FROM k a LEFT JOIN k b ON b.doc_id = a.doc_id AND b.k = a.k - 1),
+legal AS (SELECT unnest(['O', 'E', 'S', '-']) AS x)
+SELECT doc_id, (SELECT count(*) FROM j y WHERE y.doc_id = j.doc_id AND y.k < j.k AND y.pre <> 'O' AND NOT (y.pre IN ('I', 'E') AND coalesce(y.pp, '-') IN ('B', 'I') AND y.pl = y.lab)) AS si, s, lab AS label,
+  NOT (pre IN ('B', 'S') AND coalesce(pp, '-') IN (SELECT x FROM legal)) AS illegal
+FROM j WHERE pre <> 'O' AND NOT (pre IN ('I', 'E') AND coalesce(pp, '-') IN ('B', 'I') AND pl = lab)""")
+def illegally_opened(spark, sf_dir):
+    """WIN9: spans of the lenient reading, and whether the rules allow their first tag there."""
+    return reports.illegally_opened(fixtures.tokens(spark, sf_dir))

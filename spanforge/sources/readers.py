@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge import functions as fn
 from spanforge.functions import SPANS
 
 # fixed values: accepted keys, first present wins
@@ -219,3 +220,45 @@ def by_text(gold: DataFrame, pred: DataFrame) -> DataFrame:
     if n := joined.filter("_key IS NULL").count():
         raise InputError(f"{n} gold documents have no prediction")
     return joined.drop("_key")
+
+
+def read_probes(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a probe JSONL file: (id, text, spans, probe_type), ``spans`` by start, then end, with value, category and label.
+
+    Lines that are no objects and records without a text are passed over; the category is the record's, else the span's
+    label; the id is the record's, else ``PROBE-`` and its place among the records. No record at all is an error.
+    """
+    rows, _ = read_lines(spark, path)
+    text = alias("v", ("text",))
+    category = F.get_json_object("raw", "$.info.corp_category")
+    d = rows.select("ord", text.alias("text"), F.array_sort(parse_record("raw")).alias("x"), category.alias("category"), F.coalesce(F.get_json_object("raw", "$.info.id"), F.get_json_object("raw", "$.id")).alias("id"), F.coalesce(F.get_json_object("raw", "$.info.probe_type"), F.lit("?")).alias("probe_type")).filter("text IS NOT NULL")
+    spans = F.transform("x", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), fn.span_text(F.col("text"), x["start"], x["end"]).alias("value"), F.coalesce(F.col("category"), x["label"]).alias("category"), x["label"].alias("label")))
+    return d.select(F.coalesce("id", F.concat(F.lit("PROBE-"), F.lpad((F.col("ord") + 1).cast("string"), 5, "0"))).alias("id"), "text", spans.alias("spans"), "probe_type")
+
+
+def read_scores(spark: SparkSession, archive: str, meta: str) -> DataFrame:
+    """(doc_id, text, offsets, scores) of cached scores: an archive of one matrix a document and a JSONL file of texts and token offsets.
+
+    The archive is read once, a matrix at a time; texts without a matrix keep null scores.
+    """
+
+    def matrices(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    for name in z.files:
+                        yield pd.DataFrame({"doc_id": [name], "scores": [z[name].astype("float32").tolist()]})
+
+    scores = spark.read.format("binaryFile").load(archive).select("content").mapInPandas(matrices, "doc_id string, scores array<array<float>>")
+    lines = spark.read.schema("doc_id string, text string, offsets array<array<int>>").json(meta, mode="FAILFAST")
+    return lines.join(scores, "doc_id", "left")
+
+
+def first_documents(docs: DataFrame, n: int = 50) -> DataFrame:
+    """The first ``n`` documents in file order."""
+    return docs.orderBy("ord").limit(n)
