@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge import functions as fn
-from spanforge.operators import matching
+from spanforge.operators import matching, metrics
 
 LAYERS = ("model", "rule", "union", "wider")
 
@@ -113,3 +113,58 @@ def illegally_opened(tokens: DataFrame) -> DataFrame:
     free = F.col("pp").isNull() | F.col("pp").isin("O", "E", "S")
     opens = F.col("pre").isin("B", "S") | (F.col("pre").isin("I", "E") & (free | (F.col("pl") != F.col("label"))))
     return t.filter(opens).select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("si"), "s", "label", (F.col("pre").isin("I", "E") | ~free).alias("illegal"))
+
+
+#: What one span counts in, each by whole corpus, category, model's label, case and tier of length.
+COUNTERS = ("gold", "tp", "fp", "rtp", "em", "ptp", "pred", "full", "partial", "none", "split", "exposed_chars", "over_chars")
+
+
+def counters(gold: DataFrame, pred: DataFrame, docs: DataFrame, em_label: bool = False) -> DataFrame:
+    """(dim, key, COUNTERS) for ``dim`` all, category, model, case and tier.
+
+    ``gold`` has ``model_label`` beside ``label``; ``docs`` is (doc_id, char_len, cases). ``tp`` and ``fp`` come from the
+    one-to-one match by overlap and either label, ``rtp`` is a gold inside one prediction, ``ptp`` a prediction inside one
+    gold, ``em`` equal offsets (and label, with ``em_label``), ``split`` a gold covered in full but inside no prediction.
+    A prediction belongs to the gold that holds it, else the one it overlaps most, else to what its label names, else to
+    ``(none)``; characters beyond gold go by the largest overlap alone and have no model's label. A document without
+    cases has the case ``(none)``. Keys that nothing counts in are left out.
+    """
+    c = matching.candidates(gold, pred).join(gold.select("doc_id", "gi", "model_label"), ["doc_id", "gi"])
+    c = c.withColumn("same_label", F.coalesce((F.col("plabel") == F.col("glabel")) | (F.col("plabel") == F.col("model_label")), F.lit(False)))
+    pairs = matching.greedy(c, "partial")
+    within, holds = (F.col("gs") <= F.col("ps")) & (F.col("pe") <= F.col("ge")), (F.col("ps") <= F.col("gs")) & (F.col("ge") <= F.col("pe"))
+    named = F.struct("glabel", "model_label")
+    by_gold = c.groupBy("doc_id", "gi").agg(F.max(holds).alias("rtp"), F.max(F.col("exact") & (F.col("same_label") | F.lit(not em_label))).alias("em"))
+    by_pred = c.groupBy("doc_id", "pi").agg(F.max(within).alias("ptp"), F.min_by(named, F.struct(~within, F.when(within, 0).otherwise(-F.col("ov")), "gi")).alias("owner"), F.min_by("glabel", F.struct(-F.col("ov"), F.col("gi"))).alias("nearest"))
+    names = gold.groupBy(F.col("label").alias("known")).agg(F.min("model_label").alias("known_model"))
+    models = gold.select(F.col("model_label").alias("a_model")).distinct()
+    places = _places(docs)
+    key = lambda dim, col: F.struct(F.lit(dim).alias("dim"), F.coalesce(col.cast("string"), F.lit("(none)")).alias("key"))
+
+    g = gold.join(matching.coverage(gold, pred).drop("label"), ["doc_id", "gi"]).join(by_gold, ["doc_id", "gi"], "left").join(pairs.select("doc_id", "gi", F.lit(1).alias("paired")), ["doc_id", "gi"], "left").join(places, "doc_id")
+    rtp, full, part = F.coalesce("rtp", F.lit(False)), F.col("covered") >= F.col("glen"), (F.col("covered") > 0) & (F.col("covered") < F.col("glen"))
+    golds = _each(g, F.array_append(F.array_append("places", key("category", F.col("label"))), key("model", F.col("model_label"))), gold=F.lit(1), tp=F.coalesce("paired", F.lit(0)), rtp=rtp, em=F.coalesce("em", F.lit(False)),
+                  full=full & (F.col("covered") > 0), partial=part, none=F.col("covered") == 0, split=full & (F.col("covered") > 0) & ~rtp, exposed_chars=F.when(part, F.col("glen") - F.col("covered")))
+
+    p = pred.join(by_pred, ["doc_id", "pi"], "left").join(pairs.select("doc_id", "pi", F.lit(1).alias("paired")), ["doc_id", "pi"], "left")
+    p = p.join(names, F.col("label") == F.col("known"), "left").join(models, F.col("label") == F.col("a_model"), "left").join(places, "doc_id").join(matching.overmask(gold, pred).select("doc_id", "pi", "over_chars"), ["doc_id", "pi"])
+    category = F.when(F.col("owner").isNotNull(), F.col("owner.glabel")).otherwise(F.col("known"))
+    model = F.when(F.col("owner").isNotNull(), F.col("owner.model_label")).when(F.col("known").isNotNull(), F.col("known_model")).otherwise(F.col("a_model"))
+    preds = _each(p, F.array_append(F.array_append("places", key("category", category)), key("model", model)), pred=F.lit(1), fp=F.col("paired").isNull(), ptp=F.coalesce("ptp", F.lit(False)))
+    over = _each(p.filter("over_chars > 0"), F.array_append("places", key("category", F.coalesce("nearest", "known"))), over_chars=F.col("over_chars"))
+    return golds.unionByName(preds).unionByName(over).groupBy("dim", "key").agg(*(F.sum(x).alias(x) for x in COUNTERS))
+
+
+def _each(df: DataFrame, keys: Column, **counts: Column) -> DataFrame:
+    """A row for each key of each row, with all counters."""
+    d = df.select(F.explode(keys).alias("k"), *(F.coalesce(counts[x].cast("long"), F.lit(0).cast("long")).alias(x) if x in counts else F.lit(0).cast("long").alias(x) for x in COUNTERS))
+    return d.select("k.dim", "k.key", *COUNTERS)
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """(doc_id, places): the whole, the cases and the tier of each document; tier limits are the lengths at a third and two thirds of all."""
+    limits = metrics.run(metrics.TERCILES, docs, facts=docs.select(F.col("char_len").alias("glen")))
+    tier = F.when(F.col("char_len") < F.col("q1"), "T1").when(F.col("char_len") < F.col("q2"), "T2").otherwise("T3")
+    cases = F.when(F.coalesce(F.size("cases"), F.lit(0)) > 0, F.array_distinct("cases")).otherwise(F.array(F.lit("(none)")))
+    pair = lambda dim, x: F.struct(F.lit(dim).alias("dim"), x.alias("key"))
+    return docs.crossJoin(limits).select("doc_id", F.concat(F.array(pair("all", F.lit("all")), pair("tier", tier)), F.transform(cases, lambda x: pair("case", x))).alias("places"))

@@ -943,3 +943,37 @@ FROM j WHERE pre <> 'O' AND NOT (pre IN ('I', 'E') AND coalesce(pp, '-') IN ('B'
 def illegally_opened(spark, sf_dir):
     """WIN9: spans of the lenient reading, and whether the rules allow their first tag there."""
     return reports.illegally_opened(fixtures.tokens(spark, sf_dir))
+
+
+_CASES = "list_filter([CASE WHEN doc_id % 2 = 0 THEN 'even' END, CASE WHEN doc_id % 3 = 0 THEN 'third' END], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {G11.replace('pred AS', 'pred_ AS', 1)}, pred AS (SELECT doc_id, pi, s, e, CASE WHEN (doc_id + pi) % 9 = 0 THEN 20 + pi % 2 WHEN (doc_id + pi) % 9 = 1 THEN 50 ELSE label END AS label FROM pred_),
+cand AS (SELECT * REPLACE (plabel IN (glabel, 20 + glabel % 2) AS same_label) FROM ({fill(matching.CANDIDATES, gold='gold', pred='pred')}) x), {_WALK}, pairs AS (SELECT {_MATCHED}),
+d AS (SELECT doc_id, max(e) AS char_len, {_CASES} AS cases FROM gold GROUP BY doc_id),
+t AS (SELECT doc_id, cases, CASE WHEN char_len < (SELECT char_len FROM d ORDER BY 1 LIMIT 1 OFFSET (SELECT count(*) // 3 FROM d)) THEN 'T1' WHEN char_len < (SELECT char_len FROM d ORDER BY 1 LIMIT 1 OFFSET (SELECT 2 * count(*) // 3 FROM d)) THEN 'T2' ELSE 'T3' END AS tier FROM d),
+pl AS (SELECT doc_id, 'all' AS dim, 'all' AS key FROM t UNION ALL SELECT doc_id, 'tier', tier FROM t UNION ALL SELECT doc_id, 'case', unnest(CASE WHEN len(cases) = 0 THEN ['(none)'] ELSE cases END) FROM t),
+pc AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS i FROM pred), gc AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS i FROM gold),
+gf AS (SELECT g.*, (SELECT count(*) FROM pc WHERE pc.doc_id = g.doc_id AND pc.i >= g.s AND pc.i < g.e) AS cov, EXISTS (SELECT 1 FROM pairs x WHERE x.doc_id = g.doc_id AND x.gi = g.gi) AS tp,
+  EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.s <= g.s AND g.e <= p.e) AS rtp, EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.s = g.s AND g.e = p.e) AS em FROM gold g),
+pf AS (SELECT p.*, NOT EXISTS (SELECT 1 FROM pairs x WHERE x.doc_id = p.doc_id AND x.pi = p.pi) AS fp, EXISTS (SELECT 1 FROM gold g WHERE p.doc_id = g.doc_id AND g.s <= p.s AND p.e <= g.e) AS ptp,
+  coalesce((SELECT arg_min(g.label, g.gi) FROM gold g WHERE p.doc_id = g.doc_id AND g.s <= p.s AND p.e <= g.e), (SELECT arg_max(glabel, (ov, -gi)) FROM cand x WHERE x.doc_id = p.doc_id AND x.pi = p.pi)) AS owner,
+  (SELECT arg_max(glabel, (ov, -gi)) FROM cand x WHERE x.doc_id = p.doc_id AND x.pi = p.pi) AS nearest, CASE WHEN label < 11 THEN label END AS known FROM pred p),
+po AS (SELECT doc_id, pi, count(*) AS n FROM (SELECT doc_id, pi, i, row_number() OVER (PARTITION BY doc_id, i ORDER BY s, e, label, pi) AS rn FROM (SELECT *, unnest(range(s, e)) AS i FROM pred) y) x ANTI JOIN gc USING (doc_id, i) WHERE rn = 1 GROUP BY ALL),
+gk AS (SELECT doc_id, gi, dim, key FROM gold JOIN pl USING (doc_id) UNION ALL SELECT doc_id, gi, 'category', label::VARCHAR FROM gold UNION ALL SELECT doc_id, gi, 'model', (20 + label % 2)::VARCHAR FROM gold),
+pk AS (SELECT doc_id, pi, dim, key FROM pred JOIN pl USING (doc_id) UNION ALL SELECT doc_id, pi, 'category', coalesce(coalesce(owner, known)::VARCHAR, '(none)') FROM pf
+  UNION ALL SELECT doc_id, pi, 'model', CASE WHEN coalesce(owner, known) IS NOT NULL THEN (20 + coalesce(owner, known) % 2)::VARCHAR WHEN label IN (20, 21) THEN label::VARCHAR ELSE '(none)' END FROM pf),
+ok AS (SELECT doc_id, pi, dim, key FROM pred JOIN pl USING (doc_id) UNION ALL SELECT doc_id, pi, 'category', coalesce(coalesce(nearest, known)::VARCHAR, '(none)') FROM pf),
+a AS (SELECT dim, key, count(*) AS gold, count(*) FILTER (tp) AS tp, 0 AS fp, count(*) FILTER (rtp) AS rtp, count(*) FILTER (em) AS em, 0 AS ptp, 0 AS pred, count(*) FILTER (cov = e - s) AS "full", count(*) FILTER (cov > 0 AND cov < e - s) AS "partial",
+  count(*) FILTER (cov = 0) AS "none", count(*) FILTER (cov = e - s AND NOT rtp) AS split, coalesce(sum(e - s - cov) FILTER (cov > 0 AND cov < e - s), 0) AS exposed_chars, 0 AS over_chars FROM gf JOIN gk USING (doc_id, gi) GROUP BY dim, key
+  UNION ALL SELECT dim, key, 0, 0, count(*) FILTER (fp), 0, 0, count(*) FILTER (ptp), count(*), 0, 0, 0, 0, 0, 0 FROM pf JOIN pk USING (doc_id, pi) GROUP BY dim, key
+  UNION ALL SELECT dim, key, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, sum(n) FROM po JOIN ok USING (doc_id, pi) GROUP BY dim, key)
+SELECT dim, key, {', '.join(f'sum("{x}")::BIGINT AS "{x}"' for x in reports.COUNTERS)} FROM a GROUP BY dim, key""")
+def counters(spark, sf_dir):
+    """AGG5, AGG20: thirteen counters by whole, category, model's label, case and tier."""
+    gold, pred = fixtures.frames(spark, sf_dir, labels=11)
+    gold = gold.withColumn("model_label", (20 + F.col("label") % 2).cast("long"))
+    strange = F.when((F.col("doc_id") + F.col("pi")) % 9 == 0, 20 + F.col("pi") % 2).when((F.col("doc_id") + F.col("pi")) % 9 == 1, 50).otherwise(F.col("label"))
+    cases = F.array_compact(F.array(F.when(F.col("doc_id") % 2 == 0, "even"), F.when(F.col("doc_id") % 3 == 0, "third")))
+    d = gold.groupBy("doc_id").agg(F.max("e").alias("char_len")).withColumn("cases", cases)
+    return reports.counters(gold, pred.withColumn("label", strange.cast("long")), d)
