@@ -112,32 +112,55 @@ FORBIDDEN = -1e9
 
 def best_path(scores, tags: list[str], biases: dict[str, float] | None = None) -> tuple[list[int], float]:
     """Best legal classes of one text (log-softmax first; ties to the lowest class); argmax where nothing is legal."""
+    return best_paths([scores], tags, biases)[0]
+
+
+#: Scores that are decoded side by side, at most, where one text alone has not more.
+CELLS = 2_000_000
+
+
+def best_paths(texts: list, tags: list[str], biases: dict[str, float] | None = None) -> list[tuple[list[int], float]]:
+    """``best_path`` of many texts: texts of like lengths go through the tokens together, the longest first, so that those
+    still running are the first rows of the block."""
     import numpy as np
 
-    x = np.asarray(scores, float)
-    if not len(x):
-        return [], 0.0
-    x = x - x.max(1, keepdims=True)
-    x = x - np.log(np.exp(x).sum(1, keepdims=True))
     legal, bias, may_start, may_end = transitions(tags, biases)
-    move = np.where(legal, bias, FORBIDDEN)
-    score = x[0] + np.where(may_start, 0.0, FORBIDDEN)
-    back = np.zeros(x.shape, int)
-    for t in range(1, len(x)):
-        total = score[:, None] + move
-        back[t] = total.argmax(0)
-        score = total[back[t], np.arange(len(tags))] + x[t]
-    score = score + np.where(may_end, 0.0, FORBIDDEN)
-    if score.max() <= FORBIDDEN / 2:
-        return x.argmax(1).tolist(), float(x.max(1).sum())
-    out = [int(score.argmax())]
-    for t in range(len(x) - 1, 0, -1):
-        out.append(int(back[t, out[-1]]))
-    return out[::-1], float(score.max())
+    move, begin, end = np.where(legal, bias, FORBIDDEN), np.where(may_start, 0.0, FORBIDDEN), np.where(may_end, 0.0, FORBIDDEN)
+    n, out = len(tags), [([], 0.0)] * len(texts)
+    order = sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: -len(texts[i]))
+    at = 0
+    while at < len(order):
+        longest = len(texts[order[at]])
+        block = order[at : at + max(1, CELLS // (longest * n))]
+        at += len(block)
+        lengths = np.array([len(texts[i]) for i in block])
+        x = np.zeros((len(block), longest, n))
+        for k, i in enumerate(block):
+            x[k, : lengths[k]] = np.asarray(texts[i], float)
+        x -= x.max(2, keepdims=True)
+        x -= np.log(np.exp(x).sum(2, keepdims=True))
+        score = x[:, 0] + begin
+        back = np.zeros(x.shape, np.int16 if n < 32_000 else np.int64)
+        for t in range(1, longest):
+            live = int((lengths > t).sum())
+            total = score[:live, :, None] + move
+            back[:live, t] = best = total.argmax(1)
+            score[:live] = np.take_along_axis(total, best[:, None, :], 1)[:, 0] + x[:live, t]
+        score += end
+        for k, i in enumerate(block):
+            m = lengths[k]
+            if score[k].max() <= FORBIDDEN / 2:
+                out[i] = (x[k, :m].argmax(1).tolist(), float(x[k, :m].max(1).sum()))
+                continue
+            path = [int(score[k].argmax())]
+            for t in range(m - 1, 0, -1):
+                path.append(int(back[k, t, path[-1]]))
+            out[i] = (path[::-1], float(score[k].max()))
+    return out
 
 
 def viterbi(scores: DataFrame, labels: list[str], biases: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, argmax, viterbi, score) of ``scores(doc_id, logits array<array<double>>)``: both decodings from one scan, an Arrow batch at a time."""
+    """(doc_id, argmax, viterbi, score) of ``scores(doc_id, logits array<array<double>>)``: both decodings from one scan, the texts of an Arrow batch side by side."""
     tags = classes(labels)
 
     def run(batches):
@@ -145,8 +168,9 @@ def viterbi(scores: DataFrame, labels: list[str], biases: dict[str, float] | Non
         import pandas as pd
 
         for df in batches:
-            paths = [best_path([list(r) for r in x], tags, biases) for x in df["logits"]]
-            first = [[tags[int(np.argmax(list(r)))] for r in x] for x in df["logits"]]
+            texts = [np.stack(x) if len(x) else x for x in df["logits"]]
+            paths = best_paths(texts, tags, biases)
+            first = [[tags[i] for i in x.argmax(1)] if len(x) else [] for x in texts]
             yield pd.DataFrame({"doc_id": df["doc_id"], "argmax": first, "viterbi": [[tags[i] for i in p] for p, _ in paths], "score": [s for _, s in paths]})
 
     return scores.select("doc_id", "logits").mapInPandas(run, "doc_id long, argmax array<string>, viterbi array<string>, score double")

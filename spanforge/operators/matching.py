@@ -119,18 +119,26 @@ def containment(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return _sql(CONTAINMENT, gold, gold=gold, pred=pred)
 
 
+#: Candidates with the number of their cluster: no candidate reaches from one cluster into the next.
+CLUSTERS = """
+SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY lo, hi, gi, pi ROWS UNBOUNDED PRECEDING) AS cluster FROM (
+  SELECT *, CASE WHEN lo < max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi, gi, pi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
+    SELECT *, least(gs, ps) AS lo, greatest(ge, pe) AS hi FROM {cand} WHERE {keep}) a) b"""
+
+
 def greedy(cand: DataFrame, criterion: str = "type") -> DataFrame:
     """(doc_id, gi, pi) matched one-to-one by overlap, largest first; ties by starts, then indexes.
 
     ``strict`` takes equal offsets of one label, ``partial`` any overlap of one label, ``type`` any overlap.
-    Documents are independent, so the fold runs per document.
+    Candidates that share no character share no span, so the fold runs over one cluster of candidates at a
+    time and a long document needs no array of all its candidates.
     """
     keep = {"strict": "exact AND same_label", "partial": "same_label", "type": "true"}[criterion]
     fold = """aggregate(array_sort(collect_list(named_struct('k', -ov, 'gs', gs, 'ps', ps, 'gi', gi, 'pi', pi))),
         named_struct('g', cast(array() AS array<bigint>), 'p', cast(array() AS array<bigint>)),
         (a, x) -> if(array_contains(a.g, cast(x.gi AS bigint)) OR array_contains(a.p, cast(x.pi AS bigint)), a,
                      named_struct('g', array_append(a.g, cast(x.gi AS bigint)), 'p', array_append(a.p, cast(x.pi AS bigint)))))"""
-    return _sql(f"SELECT doc_id, z.g AS gi, z.p AS pi FROM (SELECT doc_id, inline(arrays_zip(m.g, m.p)) AS (g, p) FROM (SELECT doc_id, {fold} AS m FROM {{cand}} WHERE {keep} GROUP BY doc_id) y) z", cand, cand=cand)
+    return _sql(f"SELECT doc_id, z.g AS gi, z.p AS pi FROM (SELECT doc_id, inline(arrays_zip(m.g, m.p)) AS (g, p) FROM (SELECT doc_id, {fold} AS m FROM ({CLUSTERS.replace('{keep}', keep)}) c GROUP BY doc_id, cluster) y) z", cand, cand=cand)
 
 
 #: The same for DuckDB: the fold as a recursive walk over ranks.

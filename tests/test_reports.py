@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import display
-from spanforge.operators import reports
+from spanforge.operators import decoding, matching, reports
 from spanforge.sources import readers
 
 GOLD, PRED = "doc_id long, gi long, s long, e long, label long", "doc_id long, pi long, s long, e long, label long"
@@ -114,3 +114,27 @@ def test_cached_scores(spark, tmp_path):
 def test_first_documents(spark):
     d = spark.range(100).select(F.col("id").alias("ord"), (100 - F.col("id")).alias("x")).repartition(7)
     assert [r["ord"] for r in readers.first_documents(d, 3).collect()] == [0, 1, 2]
+
+
+def test_paths_side_by_side(monkeypatch):
+    tags = decoding.classes(["x", "y"])
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 4, (n, len(tags))) / 2.0 for n in (3, 0, 1, 7, 7, 2, 40, 5)]
+    alone = [decoding.best_path(x, tags, {"end_to_start": -0.5}) for x in texts]
+    for cells in (1, 200, 10_000):
+        monkeypatch.setattr(decoding, "CELLS", cells)
+        assert decoding.best_paths(texts, tags, {"end_to_start": -0.5}) == alone
+
+
+def test_greedy_by_clusters(spark):
+    rng = np.random.default_rng(3)
+    make = lambda n: [(int(d), i, int(s), int(s + w), int(x)) for i, (d, s, w, x) in enumerate(zip(rng.integers(0, 3, n), rng.integers(0, 200, n), rng.integers(1, 12, n), rng.integers(0, 3, n)))]
+    gold, pred = make(120), make(120)
+    cand = sorted((-(min(g[3], p[3]) - max(g[2], p[2])), g[2], p[2], g[1], p[1], g[0], g[4] == p[4]) for g in gold for p in pred if g[0] == p[0] and g[2] < p[3] and p[2] < g[3])
+    for criterion in ("type", "partial"):
+        left, right, want = set(), set(), set()
+        for _, _, _, gi, pi, d, same in cand:
+            if (same or criterion == "type") and gi not in left and pi not in right:
+                left.add(gi), right.add(pi), want.add((d, gi, pi))
+        g, p = spark.createDataFrame(gold, GOLD), spark.createDataFrame(pred, PRED)
+        assert {tuple(r) for r in matching.greedy(matching.candidates(g, p), criterion).collect()} == want
