@@ -136,3 +136,21 @@ def run(statement: str, like: DataFrame, **args) -> DataFrame:
         else:
             statement = statement.replace("{" + name + "}", str(value))
     return like.sparkSession.sql(statement, **frames)
+
+
+def buckets(facts: DataFrame) -> DataFrame:
+    """What ``BUCKETS`` says, from one pass: each span is dealt to all of its keys."""
+    key = lambda dim, x: F.struct(F.lit(dim).alias("dim"), x.alias("key"))
+    keys = F.array_compact(F.array(key("all", F.lit("all")), key("label", F.col("label").cast("string")), key("tier", F.col("tier")), F.when(F.col("gi") % 2 == 0, key("case", F.lit("even"))), F.when(F.col("gi") % 3 == 0, key("case", F.lit("third")))))
+    part = (F.col("covered") > 0) & (F.col("covered") < F.col("glen"))
+    return facts.select(F.explode(keys).alias("k"), "matched", "covered", "glen").groupBy(F.col("k.dim").alias("dim"), F.col("k.key").alias("key")).agg(
+        F.count("*").alias("n"), F.sum("matched").cast("long").alias("tp"), F.sum(1 - F.col("matched")).cast("long").alias("fn"), F.count_if(F.col("covered") == F.col("glen")).alias("n_full"),
+        F.count_if(part).alias("n_partial"), F.sum(F.when(part, F.col("glen") - F.col("covered")).otherwise(0)).cast("long").alias("exposed"),
+    )
+
+
+def token_counts(tags: DataFrame) -> DataFrame:
+    """What ``TOKEN_METRICS`` says, from one pass: each token counts for its gold and its predicted tag."""
+    one = lambda tag, gold, hit: F.struct(tag.alias("tag"), F.lit(gold).alias("gold"), F.lit(1 - gold).alias("pred"), hit.alias("hit"))
+    both = F.array(one(F.col("gold_tag"), 1, F.when(F.col("gold_tag") == F.col("pred_tag"), 1).otherwise(0)), one(F.col("pred_tag"), 0, F.lit(0)))
+    return tags.select(F.explode(both).alias("x")).groupBy(F.col("x.tag").alias("tag")).agg(F.sum("x.gold").cast("long").alias("n_gold"), F.sum("x.pred").cast("long").alias("n_pred"), F.sum("x.hit").cast("long").alias("n_right"))

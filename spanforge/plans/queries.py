@@ -346,8 +346,7 @@ def wider_merge(spark, sf_dir):
 
 @query(f"WITH {FACTS} {fill(metrics.BUCKETS, facts='facts')}")
 def metrics_by_bucket(spark, sf_dir):
-    facts = _facts(spark, sf_dir)
-    return metrics.run(metrics.BUCKETS, facts, facts=facts)
+    return metrics.buckets(_facts(spark, sf_dir))
 
 
 @query(f"WITH {ISL} SELECT (SELECT glen FROM cov ORDER BY glen LIMIT 1 OFFSET (SELECT count(*) // 3 FROM cov)) AS q1, (SELECT glen FROM cov ORDER BY glen LIMIT 1 OFFSET (SELECT 2 * count(*) // 3 FROM cov)) AS q2")
@@ -477,7 +476,7 @@ def surname_weights(spark, sf_dir):
 @query(f"WITH {fixtures.TOKEN_CTE}, tags AS (SELECT tag AS gold_tag, pred_tag FROM tok) {fill(metrics.TOKEN_METRICS, tags='tags')}")
 def token_metrics(spark, sf_dir):
     t = fixtures.tokens(spark, sf_dir).select(F.col("tag").alias("gold_tag"), "pred_tag")
-    return metrics.run(metrics.TOKEN_METRICS, t, tags=t)
+    return metrics.token_counts(t)
 
 
 # --- decoding --------------------------------------------------------------------------------
