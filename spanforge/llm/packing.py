@@ -4,9 +4,10 @@ A document's ids (plus an end id) that do not fit one sequence are cut into piec
 capacity; the last piece may be shorter. How many pieces of each length exist is all that packing
 needs, so the search runs over that histogram: at most ``capacity`` rows, however many documents
 there are. It takes the largest length left, enumerates undominated fillings for the rest of the
-sequence, and repeats a filling as often as the counts allow. Branches whose waste cannot beat the
-incumbent are cut; the first incumbent is best-fit decreasing. ``MAX_NODES`` bounds the search, not
-the result: every piece is packed whichever solution stands when it ends.
+sequence, and repeats a filling as often as the counts allow (less often later). Branches whose waste
+cannot beat the incumbent are cut; the first incumbent is best-fit decreasing. Passes widen until one
+has left nothing out. ``MAX_NODES`` alone ends the search early, and bounds it, not the result: every
+piece is packed whichever solution stands then.
 
 Pieces then find their places without meeting in one task: each gets its rank among those of its
 length (ranks are dealt in blocks), and the rank picks sequence and offset from the patterns.
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ from spanforge.llm.common import WordIds, default_tokenizer, in_batches, slices,
 
 CAPACITY = 2048
 END_ID = 0
-#: Nodes of the search, and fillings tried at each.
-MAX_NODES, WIDTH = 20_000, 3
+#: Choices looked at in the whole search, and choices followed at each level in its first pass.
+MAX_NODES, FIRST_WIDTH = 100_000, 3
 #: Pieces ranked together.
 BLOCK_ROWS = 200_000
 
@@ -69,31 +72,42 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Patterns:
 
 
 def dominated(filling: tuple[int, ...], waste: int, counts: dict[int, int], here: int) -> bool:
-    """Whether one unused length could stand for one, two or three of the filling's and still fit. ``here`` has a bit for each length there is."""
-    some = filling[:12]
-    for x in set(filling):
-        if counts[x] == filling.count(x):
+    """Whether one unused length still fits, or could stand for one or two of the filling's and still fit. ``here`` has a bit for each length there is."""
+    times = Counter(filling)
+    for x, k in times.items():
+        if counts[x] == k:
             here &= ~(1 << x)
     wide = (1 << (waste + 1)) - 1
-    return any(here >> (s + 1) & wide >> 1 for s in set(some)) or any(here >> (some[i] + some[j]) & wide for i in range(len(some)) for j in range(i))
+    lens = list(times)
+    return bool(
+        here & wide
+        or any(here >> (s + 1) & wide >> 1 for s in lens)
+        or any(here >> (x + y) & wide for i, x in enumerate(lens) for y in lens[i + (times[x] == 1) :])
+    )
 
 
-def fillings(room: int, counts: dict[int, int], width: int) -> list[tuple[int, ...]]:
-    """Up to ``width`` undominated fillings of ``room``, least waste first, larger lengths first."""
+def fillings(room: int, counts: dict[int, int], most_waste: int) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of ``room`` that wastes at most ``most_waste``, one by one, and None for each that was dominated.
+
+    Pairs that fill the room come first, then the filling of each sum that takes the larger lengths
+    first, by waste, then all others by waste.
+    """
     lens = sorted(x for x, n in counts.items() if n and x <= room)
     if not lens:
-        return [()]
+        if room <= most_waste:
+            yield ()
+        return
     if lens[-1] == room:
-        return [(room,)]  # one length that fills the room dominates all else
-    found: list[tuple[int, ...]] = []
+        yield (room,)  # one length that fills the room dominates all else
+        return
+    done = set()
     for a in reversed(lens):
         b = room - a
-        if b > a or len(found) == width:
+        if b > a:
             break
         if counts.get(b, 0) > (a == b):
-            found.append((a, b))
-    if found:
-        return found
+            done.add((a, b))
+            yield a, b
     mask, reach = (1 << (room + 1)) - 1, [1]
     for x in lens:
         if reach[-1] >> x == mask >> x:  # every sum from here on: no larger length adds one
@@ -105,31 +119,29 @@ def fillings(room: int, counts: dict[int, int], width: int) -> list[tuple[int, .
             bits |= (bits << (x * k)) & mask
             n, k = n - k, k * 2
         reach.append(bits)
-    top = reach[-1].bit_length() - 1
     digits = bytearray(b"0") * (lens[-1] + 1)
     for x in lens:
         digits[-1 - x] = 49
     here = int(digits, 2)
-    spare = None
-    for s in range(top, -1, -1):
-        if len(found) == width or s < top - 64:
-            break
-        if not reach[-1] >> s & 1:
-            continue
-        left, out, i = s, [], len(lens)
-        while left:
+
+    def of(s: int) -> Iterator[tuple[int, ...]]:
+        """The fillings of sum ``s``, larger lengths first."""
+        stack = [(s, len(lens), ())]
+        while stack:
+            left, i, out = stack.pop()
+            if not left:
+                yield out
+                continue
             i = bisect_right(lens, left, 0, i)
-            k = min(counts[lens[i - 1]], left // lens[i - 1])
-            while not (left >= k * lens[i - 1] and reach[i - 1] >> (left - k * lens[i - 1]) & 1):
-                k -= 1
-            out += [lens[i - 1]] * k
-            left -= k * lens[i - 1]
-            i -= 1
-        filling = tuple(out)
-        spare = spare or filling
-        if not dominated(filling, room - s, counts, here):
-            found.append(filling)
-    return found or [spare or ()]
+            x = lens[i - 1]
+            stack += [(left - k * x, i - 1, out + (x,) * k) for k in range(min(counts[x], left // x) + 1) if reach[i - 1] >> (left - k * x) & 1]
+
+    sums = [s for s in range(reach[-1].bit_length() - 1, max(room - most_waste, 1) - 1, -1) if reach[-1] >> s & 1]
+    for later in (0, 1):
+        for s in sums:
+            for filling in islice(of(s), later, None if later else 1):
+                if filling not in done:
+                    yield None if dominated(filling, room - s, counts, here) else filling
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -137,23 +149,34 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return max(-(-sum(x * n for x, n in counts.items()) // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES, width: int = WIDTH) -> Patterns:
-    """Patterns (lengths, how often) that hold every length of the histogram."""
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Patterns:
+    """Patterns (lengths, how often) that hold every length of the histogram.
+
+    A pass tries so many choices at each level; when it ends without the bound, a wider one follows,
+    until one has left nothing out (its best is then the least there is) or the nodes are spent.
+    """
     counts = {int(x): int(n) for x, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     least, n_best = lower_bound(counts, capacity), sum(n for _, n in best)
-    path: Patterns = []
-    nodes = 0
-
-    def options(state: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
-        largest = max(state)
-        state[largest] -= 1
-        out = []
-        for f in fillings(capacity - largest, state, width):
+    total = sum(x * n for x, n in counts.items())
+    nodes, width, whole = 0, FIRST_WIDTH, not counts
+
+    def options(state: dict[int, int], most_waste: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """The largest length with each filling as often as the counts allow, then with each less often."""
+        largest, again = max(state), []
+        left = {**state, largest: state[largest] - 1}
+        for f in fillings(capacity - largest, left, most_waste):
+            if f is None:
+                yield None
+                continue
             lens = (largest, *f)
-            out.append((lens, min((state[x] + (x == largest)) // lens.count(x) for x in set(lens))))
-        state[largest] += 1
-        return out
+            n = min(state[x] // k for x, k in Counter(lens).items())
+            if n > 1:
+                again.append((lens, n))
+            yield lens, n
+        for lens, n in again:
+            for k in range(n - 1, 0, -1):
+                yield lens, k
 
     def change(state: dict[int, int], lens: tuple[int, ...], by: int) -> None:
         for x in lens:
@@ -161,33 +184,41 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
             if not state[x]:
                 del state[x]
 
-    total = sum(x * n for x, n in counts.items())
-    state, used, tokens = dict(counts), 0, total
-    stack = [iter(options(state))] if state else []
-    while stack and n_best > least and nodes < max_nodes:
-        step = next(stack[-1], None)
-        if step is None:
-            stack.pop()
-            if path:
-                lens, n = path.pop()
+    while not whole and n_best > least and nodes < max_nodes:
+        whole = True
+        path: Patterns = []
+        state, used, tokens = dict(counts), 0, total
+        stack = [[options(dict(state), (n_best - 1) * capacity - total), 0]]
+        while stack and n_best > least and nodes < max_nodes:
+            step = next(stack[-1][0], stack)
+            if step is not stack and stack[-1][1] == width:
+                whole, step = False, stack
+            if step is stack:  # no more choices here
+                stack.pop()
+                if path:
+                    lens, n = path.pop()
+                    change(state, lens, n)
+                    used, tokens = used - n, tokens + n * sum(lens)
+                continue
+            nodes += 1
+            if step is None:
+                continue
+            lens, n = step
+            after = tokens - n * sum(lens)
+            if used + n + -(-after // capacity) >= n_best:  # wastes too much to beat the incumbent
+                continue
+            stack[-1][1] += 1
+            change(state, lens, -n)
+            used, tokens = used + n, after
+            path.append((lens, n))
+            if state:
+                stack.append([options(dict(state), (n_best - 1 - used) * capacity - tokens), 0])
+            else:
+                best, n_best = list(path), used
+                path.pop()
                 change(state, lens, n)
                 used, tokens = used - n, tokens + n * sum(lens)
-            continue
-        nodes += 1
-        lens, n = step
-        after = tokens - n * sum(lens)
-        if used + n + -(-after // capacity) >= n_best:  # wastes too much to beat the incumbent
-            continue
-        change(state, lens, -n)
-        used, tokens = used + n, after
-        path.append((lens, n))
-        if state:
-            stack.append(iter(options(state)))
-        else:
-            best, n_best = list(path), used
-            path.pop()
-            change(state, lens, n)
-            used, tokens = used - n, tokens + n * sum(lens)
+        width *= 3
     return best
 
 

@@ -99,6 +99,39 @@ def test_bin_completion_is_best_on_small_cases():
         assert sum(n for _, n in got) == best(lens, 20)
 
 
+def test_bin_completion_leaves_nothing_out():
+    """Against every way to fill bins: choices beyond the first width, lengths less often than the counts allow, sums with much waste."""
+
+    def best(lens, cap):
+        least = [len(lens)]
+
+        def go(i, rooms):
+            if len(rooms) >= least[0]:
+                return
+            if i == len(lens):
+                least[0] = len(rooms)
+                return
+            for k in {room: k for k, room in enumerate(rooms) if room >= lens[i]}.values():
+                go(i + 1, rooms[:k] + (rooms[k] - lens[i],) + rooms[k + 1 :])
+            go(i + 1, rooms + (cap - lens[i],))
+
+        go(0, ())
+        return least[0]
+
+    r = random.Random(11)
+    better = 0
+    for _ in range(1500):
+        cap = r.choice((20, 30, 50))
+        few = [r.randint(1, cap * r.choice((1, 2, 3)) // 3) for _ in range(r.choice((3, 12)))]
+        n = Counter(sorted((r.choice(few) for _ in range(r.randint(1, 12))), reverse=True))
+        got = packing.bin_completion(n, cap)
+        assert Counter(x for lens, k in got for x in lens * k) == n and all(sum(lens) <= cap for lens, _ in got)
+        used, want = sum(k for _, k in got), best(list(n.elements()), cap)
+        assert used == want, n
+        better += want < sum(k for _, k in packing.best_fit_decreasing(n, cap))
+    assert better
+
+
 def test_bin_completion_searches_on():
     """A histogram whose bound needs over 3,000 nodes."""
     n = Counter([129, 132, 140, 155, 159, 168, 170, 171, 179, 187, 194, 196, 235, 240, 242, 243, 243, 252, 256, 261, 268, 282, 283, 294, 296, 311, 319, 332, 341, 347, 358, 363, 379, 381, 383, 390, 393, 403, 406, 407, 411, 413, 419, 422, 431, 436, 437, 437, 444, 453, 456, 460, 461, 462, 463, 467, 468, 470, 472, 482])
@@ -348,6 +381,38 @@ def test_token_files(spark, odd, tokenizer, tmp_path):
     assert one[0].ids == ids_of(tokenizer, odd.filter("doc_id = 9").first().text, 1)
 
 
+def test_token_files_are_indexed_and_pruned(spark, tmp_path):
+    """Ids in ascending ranges by file and stripe, a Bloom filter on them, and lookups that read few rows."""
+    path, n = str(tmp_path / "many"), 60_000
+    many = spark.range(n).select((F.col("id") * 2).alias("doc_id"), F.concat_ws(" ", F.lit("some words of number"), "id").alias("text"))
+    token_orc.write_tokens(many, path, files=2)
+    jvm, last = spark._jvm, -1
+    conf = spark._jsc.hadoopConfiguration()
+    for f in sorted(glob.glob(path + "/*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == token_orc.ROW_INDEX_STRIDE
+        rows = reader.rows()
+        for k, stripe in enumerate(reader.getStripes()):
+            footer = rows.readStripeFooter(stripe)
+            kinds = {footer.getStreams(i).getKind().toString() for i in range(footer.getStreamsCount()) if footer.getStreams(i).getColumn() == 1}
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+            assert all(footer.getColumns(i).getKind().toString() == "DIRECT_V2" for i in range(1, footer.getColumnsCount()))
+            ids = reader.getStripeStatistics()[k].getColumnStatistics()[1]
+            assert last < ids.getMinimum()
+            last = ids.getMaximum()
+        rows.close()
+
+    def scanned(ids):
+        found = token_orc.read_tokens(spark, path, ids)
+        plan = found._jdf.queryExecution()
+        got = found._jdf.collectAsList().size()
+        return got, plan.executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    got, read = scanned([40_000])
+    assert got == 1 and 0 < read <= token_orc.ROW_INDEX_STRIDE  # one row group
+    assert scanned([40_001]) == (0, 0)  # inside the minima and maxima: the Bloom filter alone
+
+
 def plain_quality(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -411,6 +476,21 @@ def test_near_duplicates(spark, docs):
     assert minhash.dedup(frame(spark, rows)).columns == frame(spark, rows).columns
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Recall on 1,500 planted pairs of similarity 0.85 to 0.86, where it is least."""
+    r = random.Random(23)
+    rows = []
+    for i in range(1500):
+        n = r.randint(200, 400)  # 3-word shingles of a text with one run of new words at its end
+        words = [f"p{i}x{j}" for j in range(n + 2)]
+        k = next(k for k in range(n) if 100 * (n - k) < 85 * (n + k)) - 1
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n + 2 - k] + [f"q{i}x{j}" for j in range(k)]))]
+        assert 0.85 <= (n - k) / (n + k) < 0.86
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, rows)).collect()}
+    found = sum(got[2 * i + 1] == 2 * i for i in range(1500))
+    assert found >= 1498 and all(got[2 * i] == 2 * i for i in range(1500)), found
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Ids that stand under several texts: every row goes by its own text."""
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
@@ -466,6 +546,37 @@ def test_chat_keeps_long_and_broken_records(spark):
     assert {r.conv_id: r.paths for r in chat.unmapped(records).collect()} == {2: "OBJECT<what>", 3: None, 4: None, 5: None}
 
 
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    """No rows in, none out; columns of the caller named like those that operators make change nothing."""
+    none = frame(spark, [])
+    bench = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    assert not secrets.digests(none).count() and not secrets.redact(none).count() and not token_counts.count_tokens(none).count()
+    talk = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r")], "conv_id long, turn long, role string, text string")
+    assert not chat.digests(talk.limit(0)).count() and not sharding.assign(none).count()
+
+    names = ["raw", "m", "_rows", "turns", "layout", "paths", "p", "loss", "formatted", "content", "w", "bw", "pos", "bpos", "key", "keys", "i", "n", "rep", "half", "sig", "label_", "set_hi", "set_lo", "size", "group", "cell", "piece", "start", "length", "line", "lines", "row", "ids", "html_", "kept", "spans"]
+
+    def more(d):
+        return d.select("*", *(F.lit(k).alias(x) for k, x in enumerate(names) if x not in d.columns))
+
+    def rows(d):
+        return Counter(tuple(r[c] for c in sorted(d.columns)) for r in d.collect())
+
+    d = frame(spark, [(1, PROSE), (2, PROSE + " More."), (3, "token=abcdefgh12345678 x"), (4, None), (5, "")])
+    pages = spark.createDataFrame([(1, "<p>a<td>b"), (2, None)], "page_id long, html string")
+    assert rows(chat.digests(more(talk))) == rows(chat.digests(talk))
+    assert rows(html_text.extract(more(pages))) == rows(html_text.extract(pages))
+    for op in (secrets.digests, token_counts.count_tokens, quality.rules, sharding.assign, lambda x: packing.pack(x).drop("sequence_id", "offset"), lambda x: decontam.contaminated(x, bench)):
+        assert rows(op(more(d))) == rows(op(d))
+    for op in (secrets.redact, minhash.dedup, quality.clean, lambda x: decontam.decontaminate(x, bench)):
+        wide = op(more(d))
+        assert wide.columns == more(d).columns and rows(wide.select(d.columns)) == rows(op(d))
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_with_sql(spark):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
