@@ -1,4 +1,7 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Columns besides doc_id and text pass through unread, whatever their names, up to packing, which drops them.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,27 @@ from spanforge.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, failed lines removed."""
+    """Documents that the rules keep, failed lines removed. Null and empty texts fail, equal rows fare alike; no rows give none."""
     return quality.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group (five words, 0.8): the least id. Rows without words or id stay; equal rows all stay or go; no rows give none."""
     return minhash.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark. Null and empty texts and null ids stay; rows that share an id go together; no rows on either side: none go."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets redacted."""
+    """All documents, secrets redacted. Null and empty texts stay as they are; equal rows come out equal; no rows give none."""
     return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All pieces of all documents with their places in sequences."""
+    """All pieces of all documents with their places in sequences. Null and empty texts are one piece, equal rows separate ones; no rows give none."""
     return packing.pack(docs)
 
 
