@@ -137,7 +137,7 @@ class Cache(dict):
     """
 
     #: All caches of this process, and the operator whose entries they hold.
-    all: list["Cache"] = []
+    all: list = []
     holder: str | None = None
 
     def __init__(self, make, most: int = 200_000, longest: int = 40):
@@ -169,58 +169,33 @@ def byte_letters() -> list[str]:
 
 
 class WordIds:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, word by word.
+    """Ids of whole texts as unsigned 32-bit numbers, word by word.
 
     The tokenizer drops white space, and neither its normalizer nor its pre-tokenizer looks across
     it, so the ids of a text are those of its words in a row; each distinct word is encoded once.
-    A full stop or comma after a letter or digit is a piece of its own, and case is dropped.
+    A full stop or comma after letters is a piece of its own, and case is dropped. Words of letters
+    only go to the model at once, as what the normalizer and pre-tokenizer would make of them. Up to
+    ``most`` words of at most ``longest`` bytes are kept, as Arrow strings; full, the cache keeps what
+    it has (common words come early) until under a fifth of the words asked for are there; then it
+    starts anew.
     """
 
     _made: dict[str, "WordIds"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-
-        model, letters = tokenizer.model.tokenize, byte_letters()
-
-        def whole(keys: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
-
-        def ids(keys: list[str]) -> list[bytes]:
-            """Words of letters only go to the model at once, as what the normalizer and pre-tokenizer would make of them."""
-            out: list = [None] * len(keys)
-            rest = []
-            for i, k in enumerate(keys):
-                if not k.isalpha():
-                    rest.append(i)
-                elif k.isascii():
-                    out[i] = array("I", [x.id for x in model(k.lower())]).tobytes()
-                elif is_normalized("NFC", k) and "\u03a3" not in k and "\u0130" not in k:
-                    out[i] = array("I", [x.id for x in model("".join([letters[c] for c in k.lower().encode()]))]).tobytes()
-                else:
-                    rest.append(i)
-            for i, v in zip(rest, whole([keys[i] for i in rest])):
-                out[i] = v
-            return out
-
-        marks = dict(zip(".,", ids([".", ","])))
-
-        def make(keys: list[str]) -> list[bytes]:
-            parts = [self.parts(k) for k in keys]
-            cores = list({c for c, _ in parts})
-            known = dict(zip(cores, ids(cores), strict=True))
-            return [known[c] + marks[m] if m else known[c] for c, m in parts]
+        self.tokenizer, self.most, self.longest, self.letters = Tokenizer.from_file(path), most, longest, byte_letters()
+        self.marks = {m: int(self.alone([m])[0][0]) for m in ".,"}
+        self.clear()
+        Cache.all.append(self)
 
-        self.cache = Cache(make)
+    def clear(self) -> None:
+        import numpy as np
+        import pyarrow as pa
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        if word and word[-1] in ".," and len(word) > 1 and word[-2].isalnum() and "<|" not in word:
-            return word[:-1], word[-1]
-        return word, ""
+        self.words, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, "int64")
 
     @classmethod
     def get(cls, path: str) -> "WordIds":
@@ -228,18 +203,85 @@ class WordIds:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def alone(self, words: list[str]) -> tuple:
+        """All ids of these words in a row, and how many each has, by the whole tokenizer."""
+        import numpy as np
+
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([x for i in ids for x in i], "<u4"), np.array(list(map(len, ids)), "int64")
+
+    def together(self, words: list[str]) -> tuple:
+        """The same of words that are pieces of the pre-tokenizer already, by the model."""
+        import numpy as np
+
+        flat, sizes = array("I"), array("q")
+        for tokens in map(self.tokenizer.model.tokenize, words):
+            flat.extend([x.id for x in tokens])
+            sizes.append(len(tokens))
+        return np.array(flat, "<u4"), np.array(sizes, "int64")
+
+    def encoded(self, words):
+        """Of an Arrow array of words: all ids in a row, and how many each has."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        easy = pc.match_substring_regex(words, "^[a-z]+[.,]?$").to_numpy(zero_copy_only=False)
+        order, other = np.flatnonzero(easy), np.flatnonzero(~easy)
+        some = words.take(pa.array(order))
+        known = pc.ascii_rtrim(some, ".,").to_pylist()
+        stops = {m: np.flatnonzero(pc.ends_with(some, m).to_numpy(zero_copy_only=False)).tolist() for m in self.marks}
+        foreign, rest = [], []
+        for i, w in zip(other.tolist(), words.take(pa.array(other)).to_pylist()):
+            core = w[:-1] if w[-1:] in self.marks else w
+            if core.isalpha() and is_normalized("NFC", w) and "\u03a3" not in w and "\u0130" not in w:
+                if core is not w:
+                    stops[w[-1]].append(len(known))
+                foreign.append(i)
+                known.append("".join([self.letters[c] for c in core.lower().encode()]))
+            else:
+                rest.append((i, w))
+        flat, sizes = self.together(known)
+        ends = np.cumsum(sizes)
+        at = np.array([i for x in stops.values() for i in x], "int64")
+        flat = np.insert(flat, ends[at], np.repeat(np.array(list(self.marks.values()), "<u4"), list(map(len, stops.values()))))
+        sizes[at] += 1
+        more, n_more = self.alone([w for _, w in rest])
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, n_more])
+        back = np.argsort(np.concatenate([order, np.array(foreign, "int64"), np.array([i for i, _ in rest], "int64")]))
+        return joined(back, sizes, np.cumsum(sizes) - sizes, flat)[0], sizes[back]
+
+    def keep(self, words, flat, sizes, asked: int) -> None:
+        """Into the cache with these words, as far as there is room."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.words) >= self.most and 5 * len(words) > 4 * asked > 4_000:
+            self.clear()
+        short = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) <= self.longest)[: self.most - len(self.words)]
+        if len(short):
+            ids, _ = joined(short, sizes, np.cumsum(sizes) - sizes, flat)
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(short))])
+            self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes[short]])
+
     def many(self, texts):
         """Of an Arrow string column: all ids in a row, and where each text's ids begin (one more entry than texts)."""
         import numpy as np
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens' strings heed case
             texts = pc.ascii_lower(texts)
         offsets, index, distinct = word_index(texts)
-        made = self.cache.values_of(distinct.to_pylist())
-        sizes = np.fromiter(map(len, made), "int64", len(made)) // 4
-        flat = np.frombuffer(b"".join(made), "<u4")
-        ids, ends = joined(index, sizes, np.cumsum(sizes) - sizes, flat)
+        known = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype("int64")
+        new = np.flatnonzero(known < 0)
+        words = distinct.take(pa.array(new))
+        made, n_made = self.encoded(words)
+        known[new] = len(self.words) + np.arange(len(new))
+        flat, sizes = np.concatenate([self.flat, made]), np.concatenate([self.sizes, n_made])
+        ids, ends = joined(known[index], sizes, np.cumsum(sizes) - sizes, flat)
+        self.keep(words, made, n_made, len(distinct))
         return ids, np.concatenate([[0], ends])[offsets]
 
     def __call__(self, text: str) -> bytes:

@@ -78,6 +78,18 @@ def test_packing(spark, odd, docs, tokenizer):
             assert len(by) <= sum(m for _, m in packing.best_fit_decreasing(n, 2048))
 
 
+def test_word_ids_with_a_small_cache(tokenizer):
+    """Words of each kind, marks behind them, one after another through a cache that fills and starts anew."""
+    r = random.Random(31)
+    kinds = ["word", "Word.", "x,", ".", ",.", "a.b", "don't", "it's.", "über", "ÉTÉ,", "e\u0301t.", "ΣΑΣ.", "İx", "한국어.", "中文", "x1", "42,", "<|endoftext|>", "a<|b", "A<|ENDOFTEXT|>.", "\u00a0", "²", "ﬁ,"]
+    enc = common.WordIds(common.default_tokenizer(), most=30, longest=8)
+    for _ in range(60):
+        texts = ["  ".join(r.choice([*kinds, "".join(r.choice("abcdé") for _ in range(r.randint(1, 12))) + r.choice(("", ".", ","))]) for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 8))]
+        ids, at = enc.many(pa.array(texts))
+        assert [ids[s:e].tolist() for s, e in zip(at, at[1:])] == [ids_of(tokenizer, t, 1)[:-1] for t in texts]
+        assert len(enc.words) <= 30 and enc.sizes.sum() == len(enc.flat)
+
+
 def test_bin_completion_is_best_on_small_cases():
     def best(lens, cap):
         def go(rest, bins):
