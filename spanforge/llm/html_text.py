@@ -5,10 +5,10 @@ blocks, list items, table rows and cells, options); end tags without an open ele
 Invisible: ``head`` content except nothing, scripts, styles, templates, comments, hidden inputs, the
 ``hidden`` attribute, ``display:none`` and ``visibility:hidden``. Blocks begin lines; paragraphs,
 headings, lists and tables are set off by one empty line. List items carry bullets or numbers,
-indented by depth. Cells of a table are padded to their column's width, rows and columns that they
-span included; a table that padding would make over ``PAD_TIMES`` times as long as its text (plus
-``PAD_SPARE``) has its cells set apart by two spaces only. ``pre`` keeps its spaces. A tag that the
-page's end cuts off is text, with all behind it.
+indented by depth. Cells of a table begin where their column does, rows and columns that they span
+included, whatever the table's size. A line of a cell that this would set off by more than ``GAP``
+spaces, from the text before it or from the line's begin, is set off by two. ``pre`` keeps its spaces.
+A tag that the page's end cuts off is text, with all behind it.
 
 A null page gives null text; an empty one, empty text. Texts may be of any length and depth: time
 and output are linear in the page but for a logarithm, and there is no recursion. Repeated rows and null ids each keep their row. An empty table gives no rows.
@@ -20,7 +20,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -49,8 +49,8 @@ CLOSES = {
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "figcaption"} | {"hr"}
 SCOPE = CELLS | {"table", "caption", "html", "button", "template", "object"}
 
-#: How much longer padding may make a table.
-PAD_TIMES, PAD_SPARE = 8, 10_000
+#: Most spaces that set off a line of a cell: what bounds the output by the page, cell by cell.
+GAP = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)|[^>])*+)>", re.S)
 #: What begins a tag: one that does not end reaches to the end of the page.
@@ -132,54 +132,85 @@ class Lines:
         return self.done[a:b]
 
 
+class Columns:
+    """Which columns are free in the row at hand, as cells of rows above reach down into some."""
+
+    def __init__(self):
+        self.begins, self.ends = [0], [1 << 60]  # runs of free columns
+        self.back: dict[int, list[tuple[int, int]]] = defaultdict(list)  # runs that a cell leaves, by the row it has left them in
+        self.shared: list[tuple[int, int, int]] = []  # cells that reach into columns taken before, and that row
+
+    def first(self, at: int) -> int:
+        """The first free column from ``at`` on."""
+        return max(at, self.begins[bisect_right(self.ends, at)])
+
+    def take(self, a: int, b: int, row: int) -> None:
+        """Columns ``a`` to ``b`` are taken in rows before ``row``."""
+        free = self.cut(a, b)
+        self.back[row].append((a, b))
+        if free < b - a:
+            self.shared.append((a, b, row))
+
+    def cut(self, a: int, b: int) -> int:
+        """Take columns; gives how many were free."""
+        i, j = bisect_right(self.ends, a), bisect_left(self.begins, b)
+        runs = list(zip(self.begins[i:j], self.ends[i:j]))
+        left = [(x, y) for s, e in runs[:1] + runs[1:][-1:] for x, y in ((s, min(e, a)), (max(s, b), e)) if x < y]
+        self.begins[i:j], self.ends[i:j] = [x for x, _ in left], [y for _, y in left]
+        return sum(min(e, b) - max(s, a) for s, e in runs)
+
+    def enter(self, row: int) -> None:
+        """Free what cells above have left in ``row``."""
+        if row not in self.back:
+            return
+        for a, b in self.back.pop(row):
+            i, j = bisect_left(self.ends, a), bisect_right(self.begins, b)
+            if i < j:
+                a, b = min(a, self.begins[i]), max(b, self.ends[j - 1])
+            self.begins[i:j], self.ends[i:j] = [a], [b]
+        self.shared = [x for x in self.shared if x[2] > row]
+        for a, b, _ in self.shared:
+            self.cut(a, b)
+
+
 class Table:
     def __init__(self):
         self.rows: list[list[tuple[list[str], int, int]]] = []  # lines and spans (columns, rows) of each cell
 
     def lines(self) -> list[str]:
         most = max(map(len, self.rows), default=0)
-        allowed = PAD_TIMES * sum(len(line) for row in self.rows for cell, *_ in row for line in cell) + PAD_SPARE
-        if most * len(self.rows) > allowed:
-            return self.unpadded()
-        widths: list[int] = []
+        columns = Columns()
+        widths: dict[int, int] = {}  # of columns in which a cell begins
         placed: list[list[tuple[int, list[str]]]] = []
-        taken: dict[int, int] = {}  # columns that cells of rows above reach into, and for how many rows more
-        for row in self.rows:
-            at, cells, below = 0, [], {}
+        for n, row in enumerate(self.rows):
+            columns.enter(n)
+            at, cells = 0, []
             for cell, span, deep in row:
-                while at in taken:
-                    at += 1
-                span = min(span, most)
-                widths += [0] * (at + span - len(widths))
-                if span == 1:
-                    widths[at] = max([widths[at], *map(width, cell)])
+                at, span = columns.first(at), min(span, most)
+                widths[at] = max([widths.get(at, 0), *map(width, cell)] if span == 1 else [widths.get(at, 0)])
                 cells.append((at, cell))
                 if deep > 1:
-                    below.update(dict.fromkeys(range(at, at + span), deep - 1))
+                    columns.take(at, at + span, n + deep)
                 at += span
-            taken = {c: n - 1 for c, n in taken.items() if n > 1} | below
             placed.append(cells)
-        begins = [0]
-        for w in widths:
-            begins.append(begins[-1] + w + 2)
-        heights = [max((len(cell) for _, cell in cells), default=0) for cells in placed]
-        if begins[-1] * sum(heights) > allowed:
-            return self.unpadded()
+        begins, before = {}, 0
+        for column in sorted(widths):
+            begins[column] = 2 * column + before
+            before += widths[column]
         out = []
-        for cells, height in zip(placed, heights):
-            for i in range(height):
-                parts, at = [], 0
-                for column, cell in cells:
-                    gap = max(begins[column] - at, 2) if parts else begins[column]
-                    text = cell[i] if i < len(cell) else ""
-                    parts.append(" " * gap + text)
-                    at += gap + width(text)
-                out.append("".join(parts).rstrip(" "))
+        for cells in placed:
+            lines: list[list[str]] = [[] for _ in range(max((len(cell) for _, cell in cells), default=0))]
+            at = [0] * len(lines)
+            for column, cell in cells:
+                for i, text in enumerate(cell):
+                    if text:
+                        gap = max(begins[column] - at[i], 2) if lines[i] else begins[column]
+                        gap = gap if gap <= GAP else 2
+                        lines[i].append(" " * gap + text)
+                        at[i] += gap + width(text)
+            out += ("".join(parts).rstrip(" ") for parts in lines)
         return out
 
-    def unpadded(self) -> list[str]:
-        return ["  ".join(texts) for row in self.rows for i in range(max((len(c) for c, *_ in row), default=0)) if (texts := [c[i] for c, *_ in row if i < len(c) and c[i]])]
-
 
 def attributes(raw: str) -> dict[str, str]:
     """First of each name, lower-cased."""

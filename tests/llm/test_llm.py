@@ -182,6 +182,21 @@ def test_html_spans_rows_and_stays_linear():
     assert len(r(spans)) < 9 * len(spans)
 
 
+def test_html_lays_rows_out_alike_in_tables_of_any_size():
+    r = html_text.render
+    head, row = "<tr><th>" + "h" * 20 + "<th>i", "<tr><td>a<td>b"
+    for n in (1, 5, 3_000, 30_000):
+        assert r("<table>" + head + row * n + "</table>") == "\n".join(["h" * 20 + "  i"] + ["a" + " " * 21 + "b"] * n)
+    first = "<tr><td rowspan=3>" + "c" * 30 + "<td>d"
+    for n in (1, 3_000):
+        assert r("<table>" + (first + "<tr><td>e" * 2) * n + "</table>") == "\n".join(["c" * 30 + "  d", " " * 32 + "e", " " * 32 + "e"] * n)
+    far = ["g" * (html_text.GAP - 1), "g" * html_text.GAP]  # the text beside is set off by GAP spaces, and by one more
+    assert [r(f"<table><tr><td>{g}<td>x{row}</table>").split("\n")[1] for g in far] == ["a" + " " * html_text.GAP + "b", "a  b"]
+    for n, second in ((5, " " * 15 + "b"), (10_000, "  b")):  # cells of distinct depths above rows of one cell
+        deep = "<table><tr>" + "".join(f"<td rowspan={i + 2}>a" for i in range(n)) + "<tr><td>b" * n + "</table>"
+        assert r(deep).split("\n")[1:] == [second] + ["b"] * (n - 1)
+
+
 def test_html_layout_against_plain_writer():
     """Random pages of paragraphs, nested lists and tables, against lines written straight from their plan."""
     rnd = random.Random(23)
