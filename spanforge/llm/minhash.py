@@ -40,6 +40,8 @@ BINS = 128
 SLACK = 4.0
 #: Ids of candidate documents that are broadcast at most (8 bytes each); more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Bits of a row of the bitmap that ``without`` broadcasts, and of the whole at most (32 MB): 64 a removed row, fewer from 4 million on.
+PAGE_BITS, MAX_BITS = 1 << 15, 1 << 28
 _LEFT = "doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, sig array<int>"
 
 
@@ -300,10 +302,10 @@ def labelled_rows(docs: DataFrame, k: int, percent: int, r: int, m: int) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = written(signatures(docs, k, r, m), "signatures")
     real = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = real.groupBy("set_hi", "set_lo").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig"), "doc_id").alias("first"))
     # the number that stands for a class is fixed by writing it
-    classes = written(real.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "classes")
-    reps = real.join(classes, ["set_hi", "set_lo"]).filter("doc_id = least").select("rep", "doc_id", "set_hi", "set_lo", "n_shingles", "sig").dropDuplicates(["rep"])
-    reps = written(reps, "reps")
+    reps = written(first.select(F.monotonically_increasing_id().alias("rep"), "first.doc_id", "set_hi", "set_lo", "first.n_shingles", "first.sig"), "reps")
+    classes = reps.select("set_hi", "set_lo", F.col("doc_id").alias("least"), "rep")
 
     tables = written(buckets(reps, r, m), "tables")
     star = tables.filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
@@ -332,8 +334,25 @@ def labelled_rows(docs: DataFrame, k: int, percent: int, r: int, m: int) -> Data
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80, r: int = R, m: int = 12) -> DataFrame:
     """``docs`` with one document of each component; all columns stay. Of equal rows, all stay or go."""
     gone = labelled_rows(docs, k, percent, r, m).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
-    gone = written(gone, "gone")
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_gone_text"]), "left_anti")
+    return without(docs, written(gone, "gone"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for rows whose id and hash of text are in ``gone`` (_gone, _gone_text). Rows that a bitmap of ``gone`` leaves out stay where they are; only the others travel, to be joined."""
+    bits = min(MAX_BITS, max(PAGE_BITS, 1 << (64 * gone.count()).bit_length()))
+    keys = lambda d: (d["doc_id"].cast("long"), F.xxhash64(F.coalesce(d["text"].cast("string"), F.lit(""))))
+    spot = lambda *key: F.pmod(F.xxhash64(*key), F.lit(bits))
+    page = lambda x: F.floor(x / PAGE_BITS)
+    marks = gone.select(spot("_gone", "_gone_text").alias("x")).select(page(F.col("x")).alias("_gone_page"), (F.col("x") % PAGE_BITS).alias("x"))
+    marks = marks.repartition("_gone_page").groupBy("_gone_page").agg(F.bitmap_construct_agg("x").alias("_gone_bits"))
+    x = spot(*keys(docs))
+    at = (x % PAGE_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring(marks["_gone_bits"], F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    rows = docs.join(F.broadcast(marks), page(x) == marks["_gone_page"], "left")
+    doc_id, text = keys(docs)
+    found = rows.filter(marked).select(docs["*"]).join(gone, (doc_id == gone["_gone"]) & (text == gone["_gone_text"]), "left_anti")
+    return rows.filter(~marked).select(docs["*"]).union(found)
 
 
 def oracle(k: int = SHINGLE, percent: int = PERCENT) -> str:

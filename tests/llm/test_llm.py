@@ -528,6 +528,50 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert Counter((x.doc_id, x.text) for x in minhash.dedup(frame(spark, [(1, a), (2, c), (2, b), (2, b)])).collect()) == {(1, a): 1, (2, b): 2}
 
 
+def shuffled(df):
+    """Bytes that all exchanges of a plan wrote as it ran (those of a broadcast not counted)."""
+    df._jdf.queryExecution().executedPlan().execute().count()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "BroadcastExchangeExec":
+            continue
+        else:
+            if name == "ShuffleExchangeExec":
+                found += node.metrics().apply("dataSize").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_removal_moves_marked_texts_only(spark):
+    """Of 4,000 rows 400 go, too many to broadcast: texts of the others are not shuffled, whatever their ids and columns. So too in ``dedup``."""
+    texts = [f"{i} " + PROSE for i in range(4000)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[0], "n"), (10, "other", "y"), (20, None, "z"), (30, texts[30], "again")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _gone_bits string").repartition(3)
+    hashes = spark.createDataFrame([(i, texts[i]) for i in range(0, 4000, 10)] + [(20, "")], "_gone long, t string")
+    gone = common.written(hashes.select("_gone", F.xxhash64("t").alias("_gone_text")), "test_gone")
+    docs = common.written(docs, "test_docs")
+    kept, old = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(kept, "-1")
+    try:
+        out = minhash.without(docs, gone)
+        assert Counter(tuple(x) for x in out.collect()) == Counter(x for x in rows if x[0] is None or x[1] == "other" or (x[0] % 10 if x[1] else False))
+        assert out.columns == docs.columns
+        assert shuffled(out) < 0.25 * sum(len(x[1] or "") for x in rows)
+        assert minhash.without(docs, gone.limit(0)).count() == len(rows)
+        more = [" ".join(f"{i}w{j}" for j in range(300)) for i in range(200)]
+        docs = common.written(frame(spark, [(i, t) for i, t in enumerate(more + more[:20])]), "test_docs")
+        out = minhash.dedup(docs)
+        assert 0 < shuffled(out) < 0.25 * sum(map(len, more)) and sorted(x.doc_id for x in out.collect()) == list(range(200))
+    finally:
+        spark.conf.set(kept, old)
+
+
 def test_token_counts(odd, docs):
     from tokenizers import models, normalizers
 
