@@ -7,7 +7,8 @@ there are. It takes the largest length left, enumerates undominated fillings for
 sequence, and repeats a filling as often as the counts allow (less often later). Branches whose waste
 cannot beat the incumbent are cut; the first incumbent is best-fit decreasing. Passes widen until one
 has left nothing out. ``MAX_NODES`` alone ends the search early, and bounds it, not the result: every
-piece is packed whichever solution stands then.
+piece is packed whichever solution stands then. The search goes as deep as there are patterns; only
+the ``OPEN_LEVELS`` deepest levels hold their choices, a level above finds them again when the search is back there.
 
 Pieces then find their places without meeting in one task: each gets its rank among those of its
 length (ranks are dealt in blocks), and the rank picks sequence and offset from the patterns.
@@ -33,6 +34,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Choices looked at in the whole search, and choices followed at each level in its first pass.
 MAX_NODES, FIRST_WIDTH = 100_000, 3
+#: Levels of the search whose choices are held (about 0.1 MB each).
+OPEN_LEVELS = 64
 #: Pieces ranked together.
 BLOCK_ROWS = 200_000
 
@@ -188,10 +191,14 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
         whole = True
         path: Patterns = []
         state, used, tokens = dict(counts), 0, total
-        stack = [[options(dict(state), (n_best - 1) * capacity - total), 0]]
+        stack = [[None, 0, 0, (n_best - 1) * capacity - total]]  # choices, how many were followed and looked at, most waste
         while stack and n_best > least and nodes < max_nodes:
-            step = next(stack[-1][0], stack)
-            if step is not stack and stack[-1][1] == width:
+            level = stack[-1]
+            if level[0] is None:  # new, or let go of; the state is again what it was
+                level[0] = islice(options(dict(state), level[3]), level[2], None)
+            step = next(level[0], stack)
+            level[2] += 1
+            if step is not stack and level[1] == width:
                 whole, step = False, stack
             if step is stack:  # no more choices here
                 stack.pop()
@@ -207,12 +214,14 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
             after = tokens - n * sum(lens)
             if used + n + -(-after // capacity) >= n_best:  # wastes too much to beat the incumbent
                 continue
-            stack[-1][1] += 1
+            level[1] += 1
             change(state, lens, -n)
             used, tokens = used + n, after
             path.append((lens, n))
             if state:
-                stack.append([options(dict(state), (n_best - 1 - used) * capacity - tokens), 0])
+                stack.append([None, 0, 0, (n_best - 1 - used) * capacity - tokens])
+                if len(stack) > OPEN_LEVELS:
+                    stack[-1 - OPEN_LEVELS][0] = None
             else:
                 best, n_best = list(path), used
                 path.pop()

@@ -7,6 +7,7 @@ import json
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -152,6 +153,25 @@ def test_bin_completion_searches_on():
     assert sum((Counter({x: c * k for x, c in Counter(p).items()}) for p, k in got), Counter()) == n and all(sum(p) <= 1000 for p, _ in got)
 
 
+def test_bin_completion_holds_the_deepest_levels_only(monkeypatch):
+    """A search over 1,000 levels deep in a few MB; choices found again are the same ones."""
+    rng = random.Random(5)
+    n = Counter(rng.choices(range(40, 1600), k=6_000))
+    tracemalloc.start()
+    got = packing.bin_completion(n, 2048, 4_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) > 1_000 and sum(k for _, k in got) < sum(k for _, k in packing.best_fit_decreasing(n, 2048))
+    assert peak < 30e6
+    small = [(Counter(rng.choices(range(3, 60), k=rng.randint(20, 40))), 100, 5_000) for _ in range(60)]
+    for case in [(n, 2048, 4_000), *small]:
+        found = []
+        for levels in (1, 3, 10**9):
+            monkeypatch.setattr(packing, "OPEN_LEVELS", levels)
+            found.append(packing.bin_completion(*case))
+        assert found[0] == found[1] == found[2]
+
+
 def test_html():
     r = html_text.render
     assert r("<p>a<p>b  c<br>d<div style='display: none'>x</div><script>1</script><!-- y -->") == "a\n\nb c\nd"
