@@ -111,6 +111,33 @@ def _sql(template: str, df: DataFrame, **args) -> DataFrame:
     return df.sparkSession.sql(template, **args)
 
 
+def beside(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(doc_id, gold, pred): a row a document with its golds and its predictions, in no order. What is local to a document
+    needs no join from here on, and no other shuffle by the document."""
+    own = """SELECT doc_id, named_struct('gi', cast(gi AS bigint), 's', cast(s AS bigint), 'e', cast(e AS bigint), 'label', label) AS g, null AS p FROM {gold}
+      UNION ALL SELECT doc_id, null, named_struct('s', cast(s AS bigint), 'e', cast(e AS bigint), 'label', label, 'pi', cast(pi AS bigint)) FROM {pred}"""
+    return _sql(f"""SELECT doc_id, gold, CASE WHEN doc_id IS NULL THEN slice(pred, 1, 0) ELSE pred END AS pred FROM (
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id) AS rn, collect_list(g) OVER (PARTITION BY doc_id) AS gold, collect_list(p) OVER (PARTITION BY doc_id) AS pred FROM ({own}) u) x WHERE rn = 1""", gold, gold=gold, pred=pred)
+
+
+#: Of an element x, a gold x.g with the predictions x.near that it meets, by place: what the unions and pairs of the statements above say.
+COVERED_OF = """aggregate(x.{near}, named_struct('at', x.g.s, 'n', 0L), (a, p) -> if(p.e > a.at, named_struct('at', least(p.e, x.g.e), 'n', a.n + least(p.e, x.g.e) - greatest(p.s, a.at)), a), a -> a.n)"""
+SHARES_OF = "exists(x.{near}, p -> least(p.e, x.g.e) - greatest(p.s, x.g.s) >= {least})"
+NEAREST_OF = "array_min(transform(x.{near}, p -> named_struct('k', greatest(p.s, x.g.s) - least(p.e, x.g.e), 's', p.s, 'pi', p.pi, 'e', p.e, 'label', p.label)))"
+
+
+def met(docs: DataFrame, *preds: str) -> DataFrame:
+    """``docs`` with ``met``: each gold ``g`` and, under the name of each column of predictions, those of them that it meets, by place."""
+    near = ", ".join(f"'{n}', sort_array(filter({n}, p -> p.s < g.e AND g.s < p.e))" for n in preds)
+    return _sql(f"SELECT *, transform(gold, g -> named_struct('g', g, {near})) AS met FROM {{docs}}", docs, docs=docs)
+
+
+def facts_of(*preds: str, k: int = 3, more: str = "") -> str:
+    """An array expression over ``met``: gi, s, e, label, glen and, for each column of predictions, covered, matched, touched (with a 2 behind for the second)."""
+    of = lambda n, i: f", 'covered{i}', {COVERED_OF}, 'matched{i}', if({SHARES_OF.replace('{least}', f'least(x.g.e - x.g.s, {int(k)})')}, 1, 0), 'touched{i}', if({SHARES_OF.replace('{least}', '1')}, 1, 0)".replace("{near}", n)
+    return f"transform(met, x -> named_struct('gi', x.g.gi, 's', x.g.s, 'e', x.g.e, 'label', x.g.label, 'glen', x.g.e - x.g.s{''.join(of(n, i) for n, i in zip(preds, ('', 2)))}{more}))"
+
+
 def candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return _sql(CANDIDATES, gold, gold=gold, pred=pred)
 

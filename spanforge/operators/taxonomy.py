@@ -6,7 +6,9 @@ that the axes are one wide projection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("F1_ORPHAN", "F2_FORM", "F3_NARR", "F5_MISLABEL", "F6_OVERRUN", "F7_INCONSIST", "H1_RULE", "H2_OPF_ONLY", "V1_DECODE", "V2_REGRESS")
@@ -22,23 +24,23 @@ NAME_ITEMS = ("국문 성명", "영문 성명")
 def gold_axes(facts: DataFrame) -> DataFrame:
     """(doc_id, gi, axis): one row for each gold and axis that holds, from one projection of the facts.
 
-    ``facts``: s, e, item, label, glen, text, coverage and match of both decodings (``_a``: the first), and the representative
-    prediction (rep_s, rep_e, rep_label), null where there is none.
+    ``facts``: s, e, item, label, glen, text, coverage and match of both decodings (``_a``: the first), the representative
+    prediction (rep_s, rep_e, rep_label), null where there is none, and the items of its document found in full and not at all
+    (full_items, none_items).
     """
     reach = F.least(F.col("s"), F.lit(CONTEXT_CHARS)).cast("int")
     before = F.substring("text", (F.col("s") - reach + 1).cast("int"), reach)
     beyond = F.concat(*(F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")) for a, b in ((F.col("rep_s"), F.col("s")), (F.col("e"), F.col("rep_e")))))
-    any_of = lambda words, text: F.array_contains(F.transform(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), True)
+    any_of = lambda words, text: reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
     none, full, ruled = F.col("covered") == 0, F.col("covered") == F.col("glen"), F.col("item").isin(*RULE_ITEMS)
-    alike = Window.partitionBy("doc_id", "item")
     holds = {
         "F1_ORPHAN": ~none & ~full, "F2_FORM": none & F.col("item").isin(*NAME_ITEMS) & any_of(FORM_CUES, F.col("_before")), "F3_NARR": none & (F.col("item") == ADDRESS_ITEM) & ~F.contains("_before", F.lit(ADDRESS_CUE)),
-        "F5_MISLABEL": (F.col("rep_s") == F.col("s")) & (F.col("rep_e") == F.col("e")) & (F.col("rep_label") != F.col("label")), "F6_OVERRUN": any_of(HONORIFICS, F.col("_beyond")), "F7_INCONSIST": F.col("_some_full") & F.col("_some_none"),
+        "F5_MISLABEL": (F.col("rep_s") == F.col("s")) & (F.col("rep_e") == F.col("e")) & (F.col("rep_label") != F.col("label")), "F6_OVERRUN": any_of(HONORIFICS, F.col("_beyond")), "F7_INCONSIST": F.array_contains("full_items", F.col("item")) & F.array_contains("none_items", F.col("item")),
         "H1_RULE": ruled & (F.col("matched") == 0), "H2_OPF_ONLY": ~ruled & full, "V1_DECODE": (F.col("matched") == 1) & (F.col("matched_a") == 0), "V2_REGRESS": (F.col("covered_a") > 0) & none,
     }
-    cued = facts.withColumns({"_before": before, "_beyond": beyond, "_some_full": F.max(full).over(alike), "_some_none": F.max(none).over(alike)})
+    cued = facts.withColumns({"_before": before, "_beyond": beyond})
     axes = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in holds.items())))
-    return cued.select("doc_id", "gi", F.explode(axes).alias("axis"))
+    return cued.select("doc_id", "gi", F.explode_outer(axes).alias("axis")).filter("axis IS NOT NULL")
 
 
 POPULATIONS = """SELECT axis, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {axes} GROUP BY axis"""
