@@ -138,6 +138,12 @@ def facts_of(*preds: str, k: int = 3, more: str = "") -> str:
     return f"transform(met, x -> named_struct('gi', x.g.gi, 's', x.g.s, 'e', x.g.e, 'label', x.g.label, 'glen', x.g.e - x.g.s{''.join(of(n, i) for n, i in zip(preds, ('', 2)))}{more}))"
 
 
+def golds(docs: DataFrame, *preds: str, k: int = 3, more: str = "") -> DataFrame:
+    """``facts_of`` as rows with their doc_id. The outer explode has its array built once; a plain one has it built again, for a filter before it."""
+    facts = met(docs, *preds).selectExpr("doc_id", f"explode_outer({facts_of(*preds, k=k, more=more)}) AS f")
+    return facts.filter("f IS NOT NULL").select("doc_id", "f.*")
+
+
 def candidates(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return _sql(CANDIDATES, gold, gold=gold, pred=pred)
 
@@ -188,6 +194,20 @@ def threshold_summary(gold: DataFrame, pred: DataFrame, k: int = 3) -> DataFrame
     return _sql(THRESHOLD_SUMMARY.replace("{k}", str(int(k))), gold, pred=pred, cand=cand, matched=threshold(gold, cand, k))
 
 
+def hit_of(k: int = 3, pred: str = "pred") -> tuple[str, str]:
+    """Of a prediction p, over a row of ``beside``: whether it meets a gold by the minimum overlap, and whether it meets any."""
+    meets = "g.s < p.e AND p.s < g.e"
+    return f"exists(gold, g -> {meets} AND least(g.e, p.e) - greatest(g.s, p.s) >= least(g.e - g.s, {int(k)}))", f"exists(gold, g -> {meets})"
+
+
+def threshold_summary_of(docs: DataFrame, k: int = 3) -> DataFrame:
+    """``THRESHOLD_SUMMARY`` over a row a document: counts by document first, then their sums."""
+    hit, meets = hit_of(k)
+    docs = met(docs, "pred").selectExpr(f"{facts_of('pred', k=k)} AS facts", f"transform(pred, p -> named_struct('hit', {hit}, 'meets', {meets})) AS preds")
+    n = {"tp": "filter(facts, f -> f.matched = 1)", "fn": "filter(facts, f -> f.matched = 0)", "dropped_by_threshold": "filter(facts, f -> f.touched = 1 AND f.matched = 0)", "fp": "filter(preds, p -> NOT coalesce(p.hit, false))", "pure_fp": "filter(preds, p -> NOT coalesce(p.meets, false))"}
+    return docs.selectExpr(*(f"size({x}) AS {c}" for c, x in n.items())).selectExpr(*(f"sum({c}) AS {c}" if c in ("tp", "fn", "dropped_by_threshold") else f"coalesce(sum({c}), 0) AS {c}" for c in n))
+
+
 def representative(cand: DataFrame) -> DataFrame:
     return _sql(REPRESENTATIVE, cand, cand=cand)
 
@@ -213,6 +233,21 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return _sql(DIFFERENCE, a, a=a, b=b)
 
 
+def _union_of(spans: str) -> str:
+    """The islands of a column of spans, touching ones merged, in order: the open one and those closed are kept apart, so that each is added once."""
+    step = "if(y.s <= a.e, named_struct('s', a.s, 'e', greatest(a.e, y.e), 'out', a.out), named_struct('s', y.s, 'e', y.e, 'out', if(a.s IS NULL, a.out, array_append(a.out, named_struct('s', a.s, 'e', a.e)))))"
+    zero = "named_struct('s', cast(null AS bigint), 'e', cast(null AS bigint), 'out', cast(array() AS array<struct<s: bigint, e: bigint>>))"
+    return f"aggregate(sort_array(transform({spans}, y -> named_struct('s', y.s, 'e', y.e))), {zero}, (a, y) -> {step}, a -> if(a.s IS NULL, a.out, array_append(a.out, named_struct('s', a.s, 'e', a.e))))"
+
+
+def outside(docs: DataFrame, a: str, b: str) -> DataFrame:
+    """``difference`` of the islands of two columns of a row a document: what is left of each island between those that it meets."""
+    docs = docs.selectExpr("doc_id", f"{_union_of(a)} AS a", f"{_union_of(b)} AS b")
+    docs = docs.selectExpr("doc_id", "transform(a, x -> named_struct('x', x, 'near', filter(b, y -> x.s < y.e AND y.s < x.e))) AS m")
+    cut = """flatten(transform(m, z -> transform(sequence(0, size(z.near)), i -> named_struct('s', if(i = 0, z.x.s, get(z.near, i - 1).e), 'e', if(i = size(z.near), z.x.e, get(z.near, i).s)))))"""
+    return docs.selectExpr("doc_id", f"inline_outer({cut}) AS (s, e)").filter("s < e")
+
+
 def overmask(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return _sql(OVERMASK, gold, pred=pred, islands=islands(gold))
 
