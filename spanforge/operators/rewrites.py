@@ -29,7 +29,9 @@ def carriers_rewritten(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     for old, new in phrases.items():
         gaps, n, shift = _gaps(F.col("text"), old), len(old), len(new) - len(old)
 
-        seen = lambda to: F.size(_gaps(F.substring("text", F.lit(1), to), old)) - 1  # noqa: E731, B023
+        # how many occurrences lie within the first ``to`` characters, by running lengths of the gaps before them
+        step = lambda a, gap, to: F.struct((a["at"] + gap + n).alias("at"), (a["k"] + (a["at"] + gap + n <= to).cast("int")).alias("k"))  # noqa: E731, B023
+        seen = lambda to: F.aggregate("_lens", F.struct(F.lit(0).alias("at"), F.lit(0).alias("k")), lambda a, gap: step(a, gap, to), lambda a: a["k"])  # noqa: E731, B023
         # of each span that an occurrence touches: how many end before it
         touched = F.transform("spans", lambda s: F.when(seen(s["end"] + n - 1) > seen(s["start"]), seen(s["start"])))  # noqa: B023
         count = F.coalesce(F.array_min(touched), F.size("_gaps") - 1)
@@ -39,8 +41,8 @@ def carriers_rewritten(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
         moved = F.transform("spans", lambda s: F.struct(*((s[k] + F.least(F.col("_n"), seen(s["start"])) * shift).cast("int").alias(k) for k in ("start", "end")), s["label"].alias("label")))  # noqa: B023
         hit = F.col("_n") > 0
         docs = (
-            docs.withColumn("_gaps", gaps).withColumn("_n", F.when(F.size("_gaps") > 1, count).otherwise(F.lit(0)))
-            .withColumn("spans", F.when(hit, moved).otherwise(F.col("spans")).cast(SPANS)).withColumn("text", F.when(hit, text).otherwise(F.col("text"))).drop("_gaps", "_n")
+            docs.withColumn("_gaps", gaps).withColumn("_lens", F.transform(F.slice("_gaps", 1, F.size("_gaps") - 1), F.length)).withColumn("_n", F.when(F.size("_gaps") > 1, count).otherwise(F.lit(0)))
+            .withColumn("spans", F.when(hit, moved).otherwise(F.col("spans")).cast(SPANS)).withColumn("text", F.when(hit, text).otherwise(F.col("text"))).drop("_gaps", "_lens", "_n")
         )
     return docs
 

@@ -18,8 +18,14 @@ TEXT_RULES = {"email": EMAIL, "quad": QUAD, "card": CARD}
 ID_RULES = {"id13": ID13, "licence": LICENCE, "passport": PASSPORT}
 
 
+#: A character that every match of a pattern has: texts without it are not searched.
+MARKS = {EMAIL: "@", QUAD: "."}
+
+
 def found(text: Column | str, rules: dict[str, str]) -> Column:
-    return F.concat(*(regex_spans(text, p, n) for n, p in rules.items())).cast(SPANS)
+    t = F.col(text) if isinstance(text, str) else text
+    of = lambda p, n: F.when(F.contains(t, F.lit(MARKS[p])), regex_spans(t, p, n)).otherwise(F.array().cast(SPANS)) if p in MARKS else regex_spans(t, p, n)
+    return F.concat(*(of(p, n) for n, p in rules.items())).cast(SPANS)
 
 
 def detected(text: Column | str) -> Column:
