@@ -111,13 +111,14 @@ def _sql(template: str, df: DataFrame, **args) -> DataFrame:
     return df.sparkSession.sql(template, **args)
 
 
-def beside(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(doc_id, gold, pred): a row a document with its golds and its predictions, in no order. What is local to a document
+def beside(gold: DataFrame, **preds: DataFrame) -> DataFrame:
+    """(doc_id, gold and each of ``preds``): a row a document with its golds and its predictions, in no order. What is local to a document
     needs no join from here on, and no other shuffle by the document."""
-    own = """SELECT doc_id, named_struct('gi', cast(gi AS bigint), 's', cast(s AS bigint), 'e', cast(e AS bigint), 'label', label) AS g, null AS p FROM {gold}
-      UNION ALL SELECT doc_id, null, named_struct('s', cast(s AS bigint), 'e', cast(e AS bigint), 'label', label, 'pi', cast(pi AS bigint)) FROM {pred}"""
-    return _sql(f"""SELECT doc_id, gold, CASE WHEN doc_id IS NULL THEN slice(pred, 1, 0) ELSE pred END AS pred FROM (
-      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id) AS rn, collect_list(g) OVER (PARTITION BY doc_id) AS gold, collect_list(p) OVER (PARTITION BY doc_id) AS pred FROM ({own}) u) x WHERE rn = 1""", gold, gold=gold, pred=pred)
+    span = lambda names: "named_struct(" + ", ".join(f"'{n}', cast({n} AS bigint)" if n != "label" else "'label', label" for n in names) + ")"
+    sides = {"gold": (gold, ("gi", "s", "e", "label"))} | {n: (p, ("s", "e", "label", "pi") if "pi" in p.columns else ("s", "e", "label")) for n, p in preds.items()}
+    own = " UNION ALL ".join(f"SELECT doc_id, {', '.join(span(names) if m == n else 'null' for m in sides)} FROM {{{n}}}" for n, (_, names) in sides.items())
+    listed = ", ".join(f"collect_list({n}_) OVER (PARTITION BY doc_id) AS {n}" for n in sides)
+    return _sql(f"SELECT doc_id, {', '.join(sides)} FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id) AS rn, {listed} FROM ({own}) u(doc_id, {', '.join(f'{n}_' for n in sides)})) x WHERE rn = 1", gold, **{n: d for n, (d, _) in sides.items()})
 
 
 #: Of an element x, a gold x.g with the predictions x.near that it meets, by place: what the unions and pairs of the statements above say.
@@ -128,7 +129,7 @@ NEAREST_OF = "array_min(transform(x.{near}, p -> named_struct('k', greatest(p.s,
 
 def met(docs: DataFrame, *preds: str) -> DataFrame:
     """``docs`` with ``met``: each gold ``g`` and, under the name of each column of predictions, those of them that it meets, by place."""
-    near = ", ".join(f"'{n}', sort_array(filter({n}, p -> p.s < g.e AND g.s < p.e))" for n in preds)
+    near = ", ".join(f"'{n}', sort_array(filter({n}, p -> doc_id IS NOT NULL AND p.s < g.e AND g.s < p.e))" for n in preds)
     return _sql(f"SELECT *, transform(gold, g -> named_struct('g', g, {near})) AS met FROM {{docs}}", docs, docs=docs)
 
 
@@ -196,7 +197,7 @@ def threshold_summary(gold: DataFrame, pred: DataFrame, k: int = 3) -> DataFrame
 
 def hit_of(k: int = 3, pred: str = "pred") -> tuple[str, str]:
     """Of a prediction p, over a row of ``beside``: whether it meets a gold by the minimum overlap, and whether it meets any."""
-    meets = "g.s < p.e AND p.s < g.e"
+    meets = "doc_id IS NOT NULL AND g.s < p.e AND p.s < g.e"
     return f"exists(gold, g -> {meets} AND least(g.e, p.e) - greatest(g.s, p.s) >= least(g.e - g.s, {int(k)}))", f"exists(gold, g -> {meets})"
 
 
@@ -243,7 +244,7 @@ def _union_of(spans: str) -> str:
 def outside(docs: DataFrame, a: str, b: str) -> DataFrame:
     """``difference`` of the islands of two columns of a row a document: what is left of each island between those that it meets."""
     docs = docs.selectExpr("doc_id", f"{_union_of(a)} AS a", f"{_union_of(b)} AS b")
-    docs = docs.selectExpr("doc_id", "transform(a, x -> named_struct('x', x, 'near', filter(b, y -> x.s < y.e AND y.s < x.e))) AS m")
+    docs = docs.selectExpr("doc_id", "transform(a, x -> named_struct('x', x, 'near', filter(b, y -> doc_id IS NOT NULL AND x.s < y.e AND y.s < x.e))) AS m")
     cut = """flatten(transform(m, z -> transform(sequence(0, size(z.near)), i -> named_struct('s', if(i = 0, z.x.s, get(z.near, i - 1).e), 'e', if(i = size(z.near), z.x.e, get(z.near, i).s)))))"""
     return docs.selectExpr("doc_id", f"inline_outer({cut}) AS (s, e)").filter("s < e")
 

@@ -95,29 +95,28 @@ def rescued(docs: DataFrame, before: str, after: str) -> DataFrame:
     return won.groupBy("label").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"))
 
 
-def examples(gold: DataFrame, pred: DataFrame, rule: DataFrame, probe_type: DataFrame, n: int = 5, fixed: int = 3) -> DataFrame:
-    """(bucket, stratum, doc_id, at, extra, rn): examples by document (as text) and place, ``n`` or ``fixed`` of each stratum.
+def examples(docs: DataFrame, n: int = 5, fixed: int = 3) -> DataFrame:
+    """(bucket, stratum, doc_id, place, extra, rn): examples by document (as text) and place, ``n`` or ``fixed`` of each stratum.
 
     Golds that no prediction touches: A by item that context tells, B by unique identifier, E by probe type in documents
     without any rule span, F where a rule span has the gold's very bounds. Predictions: C cover a gold
-    and ``extra`` characters beyond the longest they cover, D touch no gold. ``gold`` has an ``item``.
+    and ``extra`` characters beyond the longest they cover, D touch no gold. ``docs`` is a row a document as ``matching.beside``
+    gives it, with ``rule`` spans, the golds' ``items`` in their order, and a ``probe_type``.
     """
-    spans = lambda d, *more: d.select("doc_id", "s", "e", *more)
-    g, p, r = spans(gold, "item").alias("g"), spans(pred).alias("p"), spans(rule)
-    touch = F.expr("g.doc_id = p.doc_id AND g.s < p.e AND p.s < g.e")
-    missed = g.join(p, touch, "left_anti")
-    at = missed.select("doc_id", F.col("s").alias("place"), "e", "item", F.lit(0).cast("long").alias("extra"))
-    pick = lambda d, bucket, stratum: d.select(F.lit(bucket).alias("bucket"), stratum.alias("stratum"), "doc_id", "place", "extra")
-    covering = g.join(p, F.expr("g.doc_id = p.doc_id AND p.s <= g.s AND g.e <= p.e"))
-    over = covering.groupBy("p.doc_id", "p.s", "p.e").agg(F.max(F.expr("g.e - g.s")).alias("longest")).select("doc_id", F.col("s").alias("place"), (F.col("e") - F.col("s") - F.col("longest")).alias("extra")).filter("extra > 0")
-    pure = p.join(g, touch, "left_anti").select("doc_id", F.col("s").alias("place"), F.lit(0).cast("long").alias("extra"))
-    lone = at.join(r.select("doc_id").distinct(), "doc_id", "left_anti").join(probe_type, "doc_id").filter("probe_type IS NOT NULL")
+    named = lambda items: ", ".join(map(repr, items))
+    docs = matching.met(docs, "pred").selectExpr(
+        "doc_id", "probe_type", "rule", "transform(filter(transform(met, (x, i) -> named_struct('x', x, 'item', items[i])), y -> size(y.x.pred) = 0), y -> named_struct('s', y.x.g.s, 'e', y.x.g.e, 'item', y.item)) AS missed",
+        "transform(array_distinct(transform(pred, p -> named_struct('s', p.s, 'e', p.e))), p -> named_struct('s', p.s, 'extra', p.e - p.s - array_max(transform(filter(gold, g -> doc_id IS NOT NULL AND p.s <= g.s AND g.e <= p.e), g -> g.e - g.s)))) AS over",
+        f"filter(pred, p -> NOT coalesce({matching.hit_of()[1]}, false)) AS pure",
+    )
+    pick = lambda spans, x, bucket, stratum, extra="0L": f"transform({spans}, {x} -> named_struct('bucket', '{bucket}', 'stratum', {stratum}, 'place', {x}.s, 'extra', {extra}))"
     pools = (
-        pick(at.filter(F.col("item").isin(*CONTEXT_ITEMS)), "A", F.col("item")), pick(at.filter(F.col("item").isin(*taxonomy.RULE_ITEMS)), "B", F.col("item")), pick(over, "C", F.lit("")), pick(pure, "D", F.lit("")),
-        pick(lone, "E", F.col("probe_type")), pick(at.join(r.select("doc_id", F.col("s").alias("place"), "e").distinct(), ["doc_id", "place", "e"], "left_semi"), "F", F.lit("")),
+        pick(f"filter(missed, m -> m.item IN ({named(CONTEXT_ITEMS)}))", "m", "A", "m.item"), pick(f"filter(missed, m -> m.item IN ({named(taxonomy.RULE_ITEMS)}))", "m", "B", "m.item"), pick("filter(over, o -> o.extra > 0)", "o", "C", "''", "o.extra"), pick("pure", "p", "D", "''"),
+        pick("if(size(rule) = 0 AND probe_type IS NOT NULL AND doc_id IS NOT NULL, missed, slice(missed, 1, 0))", "m", "E", "probe_type"), pick("filter(missed, m -> doc_id IS NOT NULL AND exists(rule, r -> r.s = m.s AND r.e = m.e))", "m", "F", "''"),
     )
-    ranked = reduce(DataFrame.unionByName, pools).withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "stratum").orderBy(F.col("doc_id").cast("string"), "place", "extra")).cast("long"))
-    return ranked.filter(F.col("rn") <= F.when(F.col("bucket").isin("B", "E"), fixed).otherwise(n))
+    pool = docs.selectExpr("doc_id", f"inline_outer(concat({', '.join(pools)}))").filter("bucket IS NOT NULL")
+    ranked = pool.withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "stratum").orderBy(F.col("doc_id").cast("string"), "place", "extra"))).filter(F.col("rn") <= max(n, fixed))  # by a number, so that each task keeps its first only
+    return ranked.filter(F.col("rn") <= F.when(F.col("bucket").isin("B", "E"), fixed).otherwise(n)).select("bucket", "stratum", "doc_id", "place", "extra", F.col("rn").cast("long").alias("rn"))
 
 
 #: Values by kind whose check digits hold although they must not.
