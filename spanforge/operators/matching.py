@@ -244,7 +244,7 @@ def _union_of(spans: str) -> str:
 def outside(docs: DataFrame, a: str, b: str) -> DataFrame:
     """``difference`` of the islands of two columns of a row a document: what is left of each island between those that it meets."""
     docs = docs.selectExpr("doc_id", f"{_union_of(a)} AS a", f"{_union_of(b)} AS b")
-    docs = docs.selectExpr("doc_id", "transform(a, x -> named_struct('x', x, 'near', filter(b, y -> doc_id IS NOT NULL AND x.s < y.e AND y.s < x.e))) AS m")
+    docs = docs.selectExpr("doc_id", "transform(a, x -> named_struct('x', x, 'near', filter(b, y -> size(b) > 0 AND doc_id IS NOT NULL AND x.s < y.e AND y.s < x.e))) AS m")
     cut = """flatten(transform(m, z -> transform(sequence(0, size(z.near)), i -> named_struct('s', if(i = 0, z.x.s, get(z.near, i - 1).e), 'e', if(i = size(z.near), z.x.e, get(z.near, i).s)))))"""
     return docs.selectExpr("doc_id", f"inline_outer({cut}) AS (s, e)").filter("s < e")
 
