@@ -76,7 +76,7 @@ def decoders(docs: DataFrame, layers: dict[str, str]) -> DataFrame:
         of += [f"'fp', size(filter({c}, p -> NOT coalesce({matching.hit_of()[0]}, false)))", f"'exposed', aggregate(facts_{c}, 0L, (a, f) -> a + if(f.covered > 0 AND f.covered < f.glen, f.glen - f.covered, 0))"]
         one.append((c, facts, f"named_struct('layer', '{name}', {', '.join(of)})"))
     docs = matching.met(docs, *layers.values())
-    docs = docs.selectExpr("gold", *layers.values(), *(f"{facts} AS facts_{c}" for c, facts, _ in one)).selectExpr(f"inline(array({', '.join(x for *_, x in one)}))")
+    docs = docs.selectExpr("doc_id", "gold", *layers.values(), *(f"{facts} AS facts_{c}" for c, facts, _ in one)).selectExpr(f"inline(array({', '.join(x for *_, x in one)}))")
     names = ("tp", "fn", "fp", "n_pred", "one_char", "n_full", "n_partial", "n_none", "exposed")
     return docs.groupBy("layer").agg(*(F.sum(n).alias(n) for n in names), F.sum("n_gold").alias("n_gold")).filter("n_gold > 0 AND n_pred > 0").drop("n_gold")
 
